@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recollect.llm.fusion import best, fuse
 from recollect.llm.near_duplicates import NearDuplicates
+from recollect.llm.tokenize import decode, encode
 from recollect.llm.weighting import log_entropy
 from recollect.operators.components import components
 from recollect.sources.tables import table
@@ -53,6 +54,15 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rep.join(group, "rep", "left").join(degree, "rep", "left").select("memory_id", F.coalesce("component", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text put together again from its ids; null texts come back empty."""
+    return decode(p8_ids(spark, sf_dir))
+
+
 _P1 = """
 WITH once AS (
   SELECT query_id, memory_id, max(CASE WHEN isnan(semantic_score) THEN NULL ELSE semantic_score END) AS a, max(CASE WHEN isnan(strength) THEN NULL ELSE strength END) AS b,
@@ -84,11 +94,12 @@ shared AS (SELECT x.memory_id AS a, y.memory_id AS b, count(*) AS i FROM t x JOI
 SELECT a AS memory_a, b AS memory_b FROM shared JOIN n p ON p.memory_id = a JOIN n q ON q.memory_id = b WHERE i / (p.n + q.n - i) >= 0.6 - 1e-12
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p4_found, p4_weights, p6_found, p6_groups)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p4_found, p4_weights, p6_found, p6_groups, p8_ids, p8_decoded)}
 SQL = {
     "p1_found": _P1 + "SELECT query_id, memory_id FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, memory_id) = 1",
     "p1_ranking": _P1 + "SELECT * FROM fused",
     "p4_found": _P4 + "SELECT memory_id, term FROM weights WHERE tf >= 3 AND df <= 5",
     "p4_weights": _P4 + "SELECT * FROM weights",
     "p6_found": _P6,
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
