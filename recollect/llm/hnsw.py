@@ -1,0 +1,144 @@
+"""A hierarchical navigable small-world graph over the vectors of one shard, in flat arrays.
+
+Built in bulk: the nodes of each layer get their candidate links from blocks of
+products, thinned by the diversity rule and made mutual; layer l holds about one
+node in ``m``^l. Searched by batches: all queries walk at once, one expansion per
+step, so that the work is done on arrays and not per query.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+M, LINKS = 12, 24
+SCAN = 512
+BLOCK = 1024
+
+
+def _levels(n: int, m: int) -> np.ndarray:
+    u = np.random.default_rng(n).random(n)
+    return np.floor(-np.log(np.maximum(u, 1e-12)) / np.log(m)).astype(np.int64)
+
+
+def _top(sims: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k greatest of each row, greatest first."""
+    k = min(k, sims.shape[1])
+    part = np.argpartition(sims, sims.shape[1] - k, axis=1)[:, -k:] if k < sims.shape[1] else np.broadcast_to(np.arange(k), (len(sims), k))
+    order = np.argsort(-np.take_along_axis(sims, part, 1), axis=1, kind="stable")
+    return np.take_along_axis(part, order, 1)
+
+
+def _link(x: np.ndarray, m: int, links: int) -> np.ndarray:
+    """(n, links) neighbours of every row, -1 where there are fewer; links are mutual where room allows."""
+    n = len(x)
+    if n <= 1:
+        return np.full((n, 1), -1, dtype=np.int32)
+    c = min(2 * m, n - 1)
+    src, dst, sim = [], [], []
+    for at in range(0, n, BLOCK):
+        own = np.arange(at, min(at + BLOCK, n))
+        s = x[own] @ x.T
+        s[np.arange(len(own)), own] = -2.0
+        cand = _top(s, c)
+        near = np.take_along_axis(s, cand, 1)
+        v = x[cand]
+        between = v @ v.transpose(0, 2, 1)
+        kept = np.zeros(cand.shape, dtype=bool)
+        count = np.zeros(len(own), dtype=np.int64)
+        for j in range(c):
+            clash = (kept[:, :j] & (between[:, j, :j] > near[:, j, None])).any(axis=1)
+            kept[:, j] = ~clash & (count < m)
+            count += kept[:, j]
+        kept[:, : min(4, c)] = True
+        r, j = np.nonzero(kept)
+        src.append(own[r])
+        dst.append(cand[r, j])
+        sim.append(near[r, j])
+    s, d, w = np.concatenate(src), np.concatenate(dst), np.concatenate(sim)
+    a, b, w = np.concatenate([s, d]), np.concatenate([d, s]), np.concatenate([w, w])
+    _, first = np.unique(a * n + b, return_index=True)
+    a, b, w = a[first], b[first], w[first]
+    order = np.lexsort((-w, a))
+    a, b = a[order], b[order]
+    start = np.searchsorted(a, np.arange(n))
+    slot = np.arange(len(a)) - start[a]
+    ok = slot < links
+    out = np.full((n, links), -1, dtype=np.int32)
+    out[a[ok], slot[ok]] = b[ok]
+    return out
+
+
+class Hnsw:
+    """Graph over the rows of ``x`` (float32, unit length)."""
+
+    def __init__(self, x: np.ndarray, m: int = M, links: int = LINKS):
+        self.x = np.ascontiguousarray(x, dtype=np.float32)
+        level = _levels(len(x), m)
+        self.layers = [(np.arange(len(x)), _link(self.x, m, links))]
+        for at in range(1, int(level.max(initial=0)) + 1):
+            if len(self.layers[-1][0]) <= SCAN:
+                break
+            nodes = np.nonzero(level >= at)[0]
+            self.layers.append((nodes, _link(self.x[nodes], m, links)))
+
+    def search(self, q: np.ndarray, k: int, ef: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and similarities of the k nearest found for each query, best first; -1 where fewer.
+
+        The topmost layer is scanned, the layers below are walked. ``own`` gives
+        the queries' own rows where they are members: they start there.
+        """
+        rows, sims = [], []
+        ef = max(ef, k)
+        for at in range(0, len(q), BLOCK):
+            part = q[at : at + BLOCK]
+            if own is not None:
+                entry = own[at : at + BLOCK, None].astype(np.int64)
+            else:
+                top = self.layers[-1][0]
+                entry = top[_top(part @ self.x[top].T, 4)]
+                for nodes, links in reversed(self.layers[1:-1]):
+                    back = np.searchsorted(nodes, entry)
+                    entry = nodes[self._walk(part, self.x[nodes], links, back, 8)[0][:, :4]]
+            r, s = self._walk(part, self.x, self.layers[0][1], entry, ef)
+            rows.append(r[:, :k])
+            sims.append(s[:, :k])
+        return np.concatenate(rows), np.concatenate(sims)
+
+    @staticmethod
+    def _walk(q, x, links, entry, ef):
+        """Best-first beam of width ``ef`` from ``entry`` for all queries at once."""
+        b, deg = len(q), links.shape[1]
+        ids = np.full((b, ef), -1, dtype=np.int64)
+        sim = np.full((b, ef), -3.0, dtype=np.float32)
+        done = np.ones((b, ef), dtype=bool)
+        e = min(entry.shape[1], ef)
+        ids[:, :e] = entry[:, :e]
+        sim[:, :e] = np.matmul(x[ids[:, :e]], q[:, :, None])[:, :, 0]
+        done[:, :e] = ids[:, :e] < 0
+        seen = np.zeros((b, len(x) + 1), dtype=bool)
+        seen[:, -1] = True
+        seen[np.arange(b)[:, None], ids[:, :e]] = True
+        live = np.arange(b)
+        while len(live):
+            s = np.where(done[live], -9.0, sim[live])
+            best = s.argmax(axis=1)
+            go = s[np.arange(len(live)), best] > -9.0
+            live, best = live[go], best[go]
+            if not len(live):
+                break
+            done[live, best] = True
+            nb = links[ids[live, best]]
+            fresh = ~seen[live[:, None], nb]
+            seen[live[:, None], nb] = True
+            # only unseen neighbours are gathered
+            r, c = np.nonzero(fresh)
+            cand = np.full(nb.shape, -3.0, dtype=np.float32)
+            cand[r, c] = np.einsum("nd,nd->n", x[nb[r, c]], q[live[r]])
+            all_s = np.concatenate([sim[live], cand], axis=1)
+            pick = np.argpartition(all_s, deg, axis=1)[:, deg:]
+            sim[live] = np.take_along_axis(all_s, pick, 1)
+            ids[live] = np.take_along_axis(np.concatenate([ids[live], nb], axis=1), pick, 1)
+            done[live] = np.take_along_axis(np.concatenate([done[live], ~fresh], axis=1), pick, 1)
+        order = np.argsort(-sim, axis=1, kind="stable")
+        sim = np.take_along_axis(sim, order, 1)
+        return np.where(sim > -3.0, np.take_along_axis(ids, order, 1), -1), sim

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recollect.llm.fusion import best, fuse
 from recollect.llm.near_duplicates import NearDuplicates
 from recollect.llm.tokenize import decode, encode
+from recollect.llm.vector_search import nearest
 from recollect.llm.weighting import log_entropy
 from recollect.operators.components import components
 from recollect.sources.tables import table
@@ -28,6 +29,17 @@ def p1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = nearest(table(spark, sf_dir, "content_op", "memory_id", "embedding"), "memory_id", "embedding", k=5, probes=4, ef=24, least=0.9)
+    return near.select(F.least("memory_id", "neighbour").alias("memory_a"), F.greatest("memory_id", "neighbour").alias("memory_b")).distinct()
+
+
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every memory whose id is divisible by 100, against all memories."""
+    ops = table(spark, sf_dir, "content_op", "memory_id", "embedding")
+    return nearest(ops, "memory_id", "embedding", k=5, probes=8, ef=64, queries=lambda item: item % 100 == 0)
+
+
 def p4_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight of every term of every memory."""
     return log_entropy(table(spark, sf_dir, "recall_hit", "memory_id", "content"))
@@ -94,7 +106,7 @@ shared AS (SELECT x.memory_id AS a, y.memory_id AS b, count(*) AS i FROM t x JOI
 SELECT a AS memory_a, b AS memory_b FROM shared JOIN n p ON p.memory_id = a JOIN n q ON q.memory_id = b WHERE i / (p.n + q.n - i) >= 0.6 - 1e-12
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p4_found, p4_weights, p6_found, p6_groups, p8_ids, p8_decoded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_neighbours, p4_found, p4_weights, p6_found, p6_groups, p8_ids, p8_decoded)}
 SQL = {
     "p1_found": _P1 + "SELECT query_id, memory_id FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, memory_id) = 1",
     "p1_ranking": _P1 + "SELECT * FROM fused",
