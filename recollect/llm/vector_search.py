@@ -197,7 +197,7 @@ def nearest(rows: DataFrame, item: str, vector: str, k: int, dim: int = 64, prob
         reps = reps.join(asking, "id", "left")
         asks = asks | F.coalesce("_asks", F.lit(False))
     routed = reps.select("id", "vec", asks.alias("asks")).mapInArrow(_route(centres, pieces, dim, probes), "shard int, member boolean, asks boolean, id long, vec binary")
-    width = int(min(pieces.sum(), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)))
+    width = int(min(pieces.sum(), 20_000))  # about one shard a task
     found = routed.repartition(width, "shard").groupBy("shard").applyInArrow(_search(dim, k, ef, least), "a long, b long, similarity double")
     position = F.row_number().over(Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b"))
     top = found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")).withColumn("position", position).where(F.col("position") <= k)
