@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recollect.llm.fusion import best, fuse
 from recollect.llm.near_duplicates import NearDuplicates
+from recollect.llm.subjects import classify, fit
 from recollect.llm.tokenize import decode, encode
 from recollect.llm.vector_search import nearest
 from recollect.llm.weighting import log_entropy
@@ -75,6 +76,16 @@ def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(p8_ids(spark, sf_dir))
 
 
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of every document with the share of its words."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return classify(docs, fit(docs, table(spark, sf_dir, "area_label", "doc_id", "area")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_shares(spark, sf_dir).select("doc_id", "area")
+
+
 _P1 = """
 WITH once AS (
   SELECT query_id, memory_id, max(CASE WHEN isnan(semantic_score) THEN NULL ELSE semantic_score END) AS a, max(CASE WHEN isnan(strength) THEN NULL ELSE strength END) AS b,
@@ -106,7 +117,7 @@ shared AS (SELECT x.memory_id AS a, y.memory_id AS b, count(*) AS i FROM t x JOI
 SELECT a AS memory_a, b AS memory_b FROM shared JOIN n p ON p.memory_id = a JOIN n q ON q.memory_id = b WHERE i / (p.n + q.n - i) >= 0.6 - 1e-12
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_neighbours, p4_found, p4_weights, p6_found, p6_groups, p8_ids, p8_decoded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_neighbours, p4_found, p4_weights, p6_found, p6_groups, p8_ids, p8_decoded, p10_found, p10_shares)}
 SQL = {
     "p1_found": _P1 + "SELECT query_id, memory_id FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, memory_id) = 1",
     "p1_ranking": _P1 + "SELECT * FROM fused",
