@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recollect.llm.fusion import best, fuse
 from recollect.llm.near_duplicates import NearDuplicates
+from recollect.llm.packing import pack
 from recollect.llm.subjects import classify, fit
 from recollect.llm.tokenize import decode, encode
 from recollect.llm.vector_search import nearest
@@ -16,6 +17,8 @@ from recollect.sources.tables import table
 
 SCORES = ["semantic_score", "strength", "actr_activation", "surprise_boost"]
 
+CAPACITY = 2048
+
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse(table(spark, sf_dir, "recall_hit", "query_id", "memory_id", *SCORES), "query_id", "memory_id", SCORES)
@@ -76,6 +79,17 @@ def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(p8_ids(spark, sf_dir))
 
 
+def p9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container and place of every piece of every text, in tokens of byte_bpe_50k."""
+    return pack(p8_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("n_tokens")), CAPACITY)
+
+
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, the least possible number, and the part filled."""
+    used = p9_pack(spark, sf_dir).agg(F.countDistinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"))
+    return used.select("containers", F.ceil(F.col("tokens") / CAPACITY).alias("least"), (F.col("tokens") / (F.col("containers") * CAPACITY)).alias("filled"))
+
+
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas of every document with the share of its words."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
@@ -117,7 +131,7 @@ shared AS (SELECT x.memory_id AS a, y.memory_id AS b, count(*) AS i FROM t x JOI
 SELECT a AS memory_a, b AS memory_b FROM shared JOIN n p ON p.memory_id = a JOIN n q ON q.memory_id = b WHERE i / (p.n + q.n - i) >= 0.6 - 1e-12
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_neighbours, p4_found, p4_weights, p6_found, p6_groups, p8_ids, p8_decoded, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_neighbours, p4_found, p4_weights, p6_found, p6_groups, p8_ids, p8_decoded, p9_pack, p9_fill, p10_found, p10_shares)}
 SQL = {
     "p1_found": _P1 + "SELECT query_id, memory_id FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, memory_id) = 1",
     "p1_ranking": _P1 + "SELECT * FROM fused",
