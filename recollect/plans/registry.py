@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recollect.plans import core_problems
+from recollect.plans import core_problems, memory_queries
 
-MODULES = [core_problems]
+MODULES = [core_problems, memory_queries]
 FLAGSHIP = core_problems.p5_found
 
 
