@@ -212,9 +212,9 @@ _TOK = "list_filter(string_split_regex(lower(content), '[^\\p{L}\\p{N}]+'), lamb
 _POST = duck("memory") + f", tok AS (SELECT memory_id, {_TOK} AS t FROM memory WHERE content IS NOT NULL), docs AS (SELECT memory_id, t, len(t) AS n FROM tok WHERE len(t) > 0), words AS (SELECT memory_id, n, unnest(t) AS term FROM docs), posts AS (SELECT memory_id, n, term, count(*) AS tf FROM words GROUP BY ALL)\n"
 _TERMS = (
     _POST
-    + ", q AS (SELECT unnest("
+    + ", qt AS (SELECT unnest("
     + str(L.query_tokens(QUERY))
-    + ") AS term), st AS (SELECT term, count(*) AS df FROM posts JOIN q USING (term) GROUP BY 1), nn AS (SELECT count(*) AS n, avg(n) AS avg_length FROM docs), idf AS (SELECT term, df, ln((n - df + 0.5) / (df + 0.5) + 1.0) AS idf, n FROM st, nn), sel AS (SELECT * FROM idf WHERE (SELECT min(df) FROM idf) >= n OR df = (SELECT min(df) FROM idf) OR df / n <= 0.20 ORDER BY df, term LIMIT 4)\n"
+    + ") AS term), st AS (SELECT term, count(*) AS df FROM posts JOIN qt USING (term) GROUP BY 1), nn AS (SELECT count(*) AS n, avg(n) AS avg_length FROM docs), idf AS (SELECT term, df, ln((n - df + 0.5) / (df + 0.5) + 1.0) AS idf, n FROM st, nn), sel AS (SELECT * FROM idf WHERE (SELECT min(df) FROM idf) >= n OR df = (SELECT min(df) FROM idf) OR df / n <= 0.20 ORDER BY df, term LIMIT 4)\n"
 )
 _CORR = "CASE WHEN starts_with(ltrim(lower(content)), '[correction]') THEN list_filter(string_split_regex(CASE WHEN regexp_extract(lower(content), '(?:not|wrong):\\s*([^\\n]*)', 1) <> '' THEN regexp_extract(lower(content), '(?:not|wrong):\\s*([^\\n]*)', 1) ELSE regexp_replace(lower(content), '^\\s*\\[correction\\]', '') END, '[^\\p{L}\\p{N}]+'), lambda t: t <> '') ELSE [] END"
 _CORRW = _N + f", w AS (SELECT memory_id, created_ms, {_CORR} AS w FROM note WHERE content IS NOT NULL), k AS (SELECT memory_id, created_ms, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS keys FROM w WHERE len(w) > 1)\n"

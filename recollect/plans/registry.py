@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from recollect.plans import core_problems, memory_queries
+from recollect.plans import core_problems, memory_queries, recall_queries
 
-MODULES = [core_problems, memory_queries]
-FLAGSHIP = core_problems.p5_found
+MODULES = [core_problems, memory_queries, recall_queries]
+FLAGSHIP = recall_queries.e_hybrid
 
 
 def queries() -> dict:
