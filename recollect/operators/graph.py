@@ -209,8 +209,9 @@ def densified(memory: DataFrame) -> DataFrame:
     """Link each memory with the three before it of its session and realm, 0.6 * 0.7^i."""
     w = Window.partitionBy("source_session", "realm").orderBy("created_ms", "memory_id")
     rows = memory.where(F.col("source_session").isNotNull())
-    before = F.array(*[F.struct(F.lag("memory_id", i).over(w).alias("dst"), F.lit(0.6 * 0.7 ** (i - 1)).alias("weight")) for i in (1, 2, 3)])
-    out = rows.select(F.col("memory_id").alias("src"), F.explode(before).alias("e")).select("src", "e.dst", F.lit("SameSession").alias("type"), "e.weight")
+    lagged = rows.select(F.col("memory_id").alias("src"), *[F.lag("memory_id", i).over(w).alias(f"_{i}") for i in (1, 2, 3)])
+    before = F.array(*[F.struct(F.col(f"_{i}").alias("dst"), F.lit(0.6 * 0.7 ** (i - 1)).alias("weight")) for i in (1, 2, 3)])
+    out = lagged.select("src", F.explode(before).alias("e")).select("src", "e.dst", F.lit("SameSession").alias("type"), "e.weight")
     return out.where(F.col("dst").isNotNull())
 
 
@@ -347,7 +348,7 @@ def ppr_lane(edges: DataFrame, seeds: list[int], weights: list[float], rounds: i
     for _ in range(hops):
         nodes = materialize(capped.join(nodes, "src").select(F.col("dst").alias("src")).unionByName(nodes).distinct().orderBy("src").limit(most), "ppr-nodes")
     local = capped.join(nodes, "src", "left_semi").join(nodes.withColumnRenamed("src", "dst"), "dst", "left_semi")
-    total = local.groupBy("src").agg(F.sum("weight").alias("_t"))
+    total = local.groupBy("src").agg(F.sum("weight").alias("_t")).where(F.col("_t") > 0)
     share = materialize(local.join(total, "src").select("src", "dst", (F.col("weight") / F.col("_t")).alias("share")), "ppr-edges")
     z = sum(weights)
     start = spark.createDataFrame([(s, w / z) for s, w in zip(seeds, weights, strict=True)], "node long, p double")

@@ -72,6 +72,6 @@ def duck(*names: str, recursive: bool = False) -> str:
     """The same tables as the head of a DuckDB statement: ``WITH name AS (...), ...``."""
     parts = []
     for n in names:
-        sql = re.sub(r"MS\(([^()]*)\)", r"epoch_ms(\1)", VIEWS[n])
+        sql = re.sub(r"MS\(([^()]*)\)", r"CAST(floor(epoch_us(\1) / 1000) AS BIGINT)", VIEWS[n])
         parts.append(f"{n} AS ({re.sub(r'\{(\w+)\}', r'\1', sql)})")
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n"
