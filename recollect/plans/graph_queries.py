@@ -57,7 +57,7 @@ def g_believed_at(s, d):
 def g_deduplicated(s, d):
     t = _t(s, d)
     twice = t.unionByName(t.where("id % 3 = 0").withColumns({"id": F.col("id") + 5_000_000_000, "weight": F.col("weight") * 2}))
-    return G.deduplicated(twice).select(*TRI, R6("weight"))
+    return G.deduplicated(twice).select(*TRI, F.round("weight", 9).alias("weight"))
 
 
 def g_invalidated(s, d):
@@ -359,7 +359,7 @@ SQL = {
     "g_as_of": _TS + f"SELECT {_S4} FROM triplet WHERE (valid_from_ms = 0 OR valid_from_ms <= {W0}) AND {_VAL(W0)} AND id NOT IN (SELECT old_id FROM supersession WHERE at_ms <= {W0})",
     "g_believed_at": _TS + f"SELECT {_S4} FROM triplet WHERE coalesce(ingested_ms, valid_from_ms) <= {W0} AND id NOT IN (SELECT old_id FROM supersession WHERE at_ms <= {W0})",
     "g_deduplicated": _T
-    + f", tw AS (SELECT {_S4}, weight, valid_to_ms FROM triplet UNION ALL SELECT id + 5000000000, subject, predicate, object, weight * 2, valid_to_ms FROM triplet WHERE id % 3 = 0) SELECT {_S4}, round(weight, 6) AS weight FROM tw WHERE valid_to_ms = 0 QUALIFY row_number() OVER (PARTITION BY subject, predicate, object ORDER BY weight DESC, id) = 1 UNION ALL SELECT {_S4}, round(weight, 6) FROM tw WHERE valid_to_ms <> 0",
+    + f", tw AS (SELECT {_S4}, weight, valid_to_ms FROM triplet UNION ALL SELECT id + 5000000000, subject, predicate, object, weight * 2, valid_to_ms FROM triplet WHERE id % 3 = 0) SELECT {_S4}, round(weight, 9) AS weight FROM tw WHERE valid_to_ms = 0 QUALIFY row_number() OVER (PARTITION BY subject, predicate, object ORDER BY weight DESC, id) = 1 UNION ALL SELECT {_S4}, round(weight, 9) FROM tw WHERE valid_to_ms <> 0",
     "g_invalidated": _T + "SELECT id FROM triplet WHERE valid_to_ms = 0 AND source_file <> '1-URGENT'",
     "g_invalidated_ids": _T + f"SELECT id, CASE WHEN valid_to_ms = 0 AND id % 5 = 0 THEN {NOW} ELSE valid_to_ms END AS valid_to_ms FROM triplet",
     "g_spreading": _layers(2),

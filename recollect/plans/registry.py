@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recollect.plans import core_problems, graph_queries, memory_queries, recall_queries
+from recollect.plans import core_problems, graph_queries, memory_queries, recall_queries, registry_queries, source_queries
 
-MODULES = [core_problems, memory_queries, recall_queries, graph_queries]
+MODULES = [core_problems, memory_queries, recall_queries, graph_queries, registry_queries, source_queries]
 FLAGSHIP = recall_queries.e_hybrid
 
 
