@@ -30,7 +30,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hit with its rank in each score and its fused value."""
-    return _fused(spark, sf_dir)
+    return _fused(spark, sf_dir).withColumn("rrf", F.round("rrf", 9))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,13 +44,17 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(ops, "memory_id", "embedding", k=5, probes=8, ef=64, queries=lambda item: item % 100 == 0)
 
 
+def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_entropy(table(spark, sf_dir, "recall_hit", "memory_id", "content"))
+
+
 def p4_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight of every term of every memory."""
-    return log_entropy(table(spark, sf_dir, "recall_hit", "memory_id", "content"))
+    return _weights(spark, sf_dir).withColumn("weight", F.round("weight", 6))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p4_weights(spark, sf_dir).where("tf >= 3 AND df <= 5").select("memory_id", "term")
+    return _weights(spark, sf_dir).where("tf >= 3 AND df <= 5").select("memory_id", "term")
 
 
 def _near(spark: SparkSession, sf_dir: str) -> NearDuplicates:
@@ -134,9 +138,9 @@ SELECT a AS memory_a, b AS memory_b FROM shared JOIN n p ON p.memory_id = a JOIN
 QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_neighbours, p4_found, p4_weights, p6_found, p6_groups, p8_ids, p8_decoded, p9_pack, p9_fill, p10_found, p10_shares)}
 SQL = {
     "p1_found": _P1 + "SELECT query_id, memory_id FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, memory_id) = 1",
-    "p1_ranking": _P1 + "SELECT * FROM fused",
+    "p1_ranking": _P1 + "SELECT * REPLACE (round(rrf, 9) AS rrf) FROM fused",
     "p4_found": _P4 + "SELECT memory_id, term FROM weights WHERE tf >= 3 AND df <= 5",
-    "p4_weights": _P4 + "SELECT * FROM weights",
+    "p4_weights": _P4 + "SELECT * REPLACE (round(weight, 6) AS weight) FROM weights",
     "p6_found": _P6,
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
