@@ -46,6 +46,7 @@ def last_records(changes: DataFrame) -> DataFrame:
 def usable(facts: DataFrame) -> DataFrame:
     """Rows that say something: all fields present, end open or after the start."""
     present = [F.length(F.trim(c)) > 0 for c in ("subject", "predicate", "object")]
+    facts = facts.withColumn("valid_to_ms", F.nullif("valid_to_ms", F.lit(0)))
     return facts.where(present[0] & present[1] & present[2] & F.col("valid_from_ms").isNotNull() & (F.col("valid_to_ms").isNull() | (F.col("valid_to_ms") > F.col("valid_from_ms"))))
 
 

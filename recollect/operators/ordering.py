@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recollect.storage import materialize
+
 HOT_ROWS = 500_000
 SPLITS = 128
 
@@ -27,7 +29,8 @@ def hot_bounds(df: DataFrame, keys: list[str], order: str, hot_rows: int = HOT_R
         return None
     hot = df.sparkSession.createDataFrame(hot, counts.schema)
     fractions = [i / splits for i in range(1, splits)]
-    return df.join(F.broadcast(hot), keys, "left_semi").groupBy(*keys).agg(F.percentile_approx(order, fractions, 20 * splits).alias("_bounds"))
+    bounds = df.join(F.broadcast(hot), keys, "left_semi").groupBy(*keys).agg(F.percentile_approx(order, fractions, 20 * splits).alias("_bounds"))
+    return materialize(bounds, "hot-bounds")  # an approximation: every use must see the same one
 
 
 def block_of(value: Column, bounds: Column) -> Column:
