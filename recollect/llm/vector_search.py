@@ -140,7 +140,9 @@ def _route(centres: np.ndarray, pieces: np.ndarray, dim: int, probes: int):
 
 
 def _search(dim: int, k: int, ef: int, least: float):
-    def run(group: pa.Table) -> pa.Table:
+    """A partition's batches -> (a, b, similarity), shard by shard; a shard is bounded by the routing."""
+
+    def one(group: pa.Table) -> pa.RecordBatch:
         ids, member, asks = (group.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("id", "member", "asks"))
         x = _matrix(group.column("vec"), dim)
         inside = np.nonzero(member)[0]
@@ -158,7 +160,15 @@ def _search(dim: int, k: int, ef: int, least: float):
                 a, b = query[r], ids[inside[found[r, c]]]
                 out.append((a[a != b], b[a != b], sim[r, c][a != b]))
         a, b, s = (np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(3))
-        return pa.table({"a": a.astype(np.int64), "b": b.astype(np.int64), "similarity": s.astype(np.float64)})
+        return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(s.astype(np.float64))], names=["a", "b", "similarity"])
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
+            shard = table.column("shard").to_numpy()
+            for s in np.unique(shard):
+                yield one(table.filter(pa.array(shard == s)))
 
     return run
 
@@ -197,8 +207,9 @@ def nearest(rows: DataFrame, item: str, vector: str, k: int, dim: int = 64, prob
         reps = reps.join(asking, "id", "left")
         asks = asks | F.coalesce("_asks", F.lit(False))
     routed = reps.select("id", "vec", asks.alias("asks")).mapInArrow(_route(centres, pieces, dim, probes), "shard int, member boolean, asks boolean, id long, vec binary")
-    width = int(min(pieces.sum(), 20_000))  # about one shard a task
-    found = routed.repartition(width, "shard").groupBy("shard").applyInArrow(_search(dim, k, ef, least), "a long, b long, similarity double")
+    width = int(min(pieces.sum(), 20_000))
+    by_shard = routed.repartitionById(width, F.col("shard") % width)  # a partition is a shard, no two meet by hash
+    found = by_shard.mapInArrow(_search(dim, k, ef, least), "a long, b long, similarity double")
     position = F.row_number().over(Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b"))
     top = found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")).withColumn("position", position).where(F.col("position") <= k)
     if members is None:
