@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import vector as V
+from recollect.operators.ordering import HOT_ROWS, ordered
 from recollect.operators.vectors import centroid
 
 
@@ -58,9 +59,9 @@ def themes(vectors: DataFrame, theme: str = "realm") -> DataFrame:
 
 def theme_stats(members: DataFrame, memory: DataFrame) -> DataFrame:
     """Themes, memberships, memories without one, members a theme."""
+    orphans = memory.join(members.select("memory_id").distinct(), "memory_id", "left_anti").count()
     t = members.agg(F.count_distinct("theme").alias("themes"), F.count(F.lit(1)).alias("memberships"))
-    o = memory.join(members.select("memory_id").distinct(), "memory_id", "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
-    return t.join(o, F.lit(True)).withColumn("avg_members", F.col("memberships") / F.col("themes"))  # one row each
+    return t.select("themes", "memberships", F.lit(orphans).cast("long").alias("orphans"), (F.col("memberships") / F.col("themes")).alias("avg_members"))
 
 
 def assign_orphans(orphans: DataFrame, centres: DataFrame, least: float, theme: str = "realm") -> DataFrame:
@@ -252,19 +253,11 @@ def resolve_branches(branches: DataFrame, verdicts: DataFrame) -> DataFrame:
     return branches.join(v.groupBy("id").agg(F.max("new").alias("new")), "id", "left").select("id", F.coalesce("new", "status").alias("status"))
 
 
-def compiled(overrides: DataFrame) -> DataFrame:
+def compiled(overrides: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Versions of each memory's text from override events: number, validity, what each supersedes."""
-    w = Window.partitionBy("memory_id").orderBy("at_ms", "id")
-    return overrides.select(
-        "memory_id",
-        "id",
-        F.col("new_text").alias("object"),
-        F.row_number().over(w).alias("version"),
-        F.col("at_ms").alias("valid_from_ms"),
-        F.lead("at_ms").over(w).alias("valid_to_ms"),
-        F.lag("id").over(w).alias("supersedes"),
-        F.when(F.lead("id").over(w).isNull(), "Active").otherwise("Superseded").alias("status"),
-    )
+    rows = overrides.select("memory_id", "id", F.col("new_text").alias("object"), "at_ms")
+    rows = ordered(rows, ["memory_id"], ["at_ms", "id"], lag={"supersedes": "id"}, lead={"valid_to_ms": "at_ms"}, number="version", hot_rows=hot_rows)
+    return rows.withColumn("status", F.when(F.col("valid_to_ms").isNull(), "Active").otherwise("Superseded")).withColumnRenamed("at_ms", "valid_from_ms")
 
 
 def contested(assertions: DataFrame) -> DataFrame:
@@ -359,12 +352,17 @@ def decay_recommendation(accesses: DataFrame, surprise: float = 0.5, alpha: floa
     return ops.select("memory_id", (ewma / 86_400_000.0).alias("days"), F.least(F.greatest(rate, F.lit(0.0001)), F.lit(0.01)).alias("rate"))
 
 
-def session_gaps(beats: DataFrame, ttl_ms: int) -> DataFrame:
-    """I4: sessions cut where a heartbeat is later than the time to live: (session_id, start, end, beats)."""
-    w = Window.partitionBy("session_id").orderBy("ts_ms")
-    fresh = F.coalesce((F.col("ts_ms") - F.lag("ts_ms").over(w) > ttl_ms).cast("int"), F.lit(1))
-    rows = beats.withColumn("_f", fresh).withColumn("part", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("session_id", "part").agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.count(F.lit(1)).alias("beats"))
+def session_gaps(beats: DataFrame, ttl_ms: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """I4: sessions cut where a heartbeat is later than the time to live: (session_id, part, start, end, beats).
+
+    Equal heartbeats of a session are counted first, so the order within it is strict.
+    """
+    once = beats.groupBy("session_id", "ts_ms").agg(F.count(F.lit(1)).alias("n"))
+    rows = ordered(once, ["session_id"], ["ts_ms"], lag={"before": "ts_ms"}, hot_rows=hot_rows)
+    fresh = F.when(F.col("before").isNull() | (F.col("ts_ms") - F.col("before") > ttl_ms), F.col("ts_ms"))
+    rows = ordered(rows, ["session_id"], ["ts_ms"], running_max={"start_ms": fresh}, hot_rows=hot_rows)
+    parts = rows.groupBy("session_id", "start_ms").agg(F.max("ts_ms").alias("end_ms"), F.sum("n").alias("beats"))
+    return ordered(parts, ["session_id"], ["start_ms"], number="part", hot_rows=hot_rows)
 
 
 def live_sessions(events: DataFrame) -> DataFrame:

@@ -250,7 +250,7 @@ def j_decay_recommendation(s, d):
 
 
 def i_session_gaps(s, d):
-    return J.session_gaps(view(s, d, "tape").select("session_id", "ts_ms"), DAY).select("session_id", "part", "start_ms", "end_ms", "beats")
+    return J.session_gaps(view(s, d, "tape").select("session_id", "ts_ms"), DAY).select("session_id", F.col("part").cast("long").alias("part"), "start_ms", "end_ms", "beats")
 
 
 def i_live_sessions(s, d):

@@ -14,7 +14,7 @@ from recollect.operators import registries as J
 from recollect.operators import tape as T
 from recollect.operators.bucket_store import BucketStore, ConcurrentCommit
 from recollect.operators.fold import fold_deltas
-from recollect.operators.ordering import with_block
+from recollect.operators.ordering import ordered, with_block
 from recollect.plans.router import Request, route, time_window
 from recollect.sources.logical import NOW, view
 from conftest import SF
@@ -84,6 +84,28 @@ def test_blocks_are_monotone_and_cut_only_hot_keys(spark):
     assert len({b for _, b in hot}) > 4 and [b for _, b in hot] == sorted(b for _, b in hot)
 
 
+@pytest.mark.parametrize("hot_rows", [20, 10**6])
+def test_order_within_hot_keys(spark, hot_rows):
+    r = random.Random(6)
+    rows = [("hot", r.randint(0, 40), i) for i in range(300)] + [("cold", 5 - i, i) for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, t long, id long")
+    out = ordered(df, ["k"], ["t", "id"], lag={"p": "id"}, lead={"n": "id"}, running_max={"m": F.when(F.col("id") % 7 == 0, F.col("t"))}, number="no", hot_rows=hot_rows, splits=8)
+    got = {(x["k"], x["id"]): (x["p"], x["n"], x["m"], x["no"]) for x in out.collect()}
+    for k in ("hot", "cold"):
+        own, m = sorted((t, i) for q, t, i in rows if q == k), None
+        for no, (t, i) in enumerate(own):
+            m = t if i % 7 == 0 and (m is None or t > m) else m
+            assert got[k, i] == (own[no - 1][1] if no else None, own[no + 1][1] if no + 1 < len(own) else None, m, no + 1)
+
+
+def test_session_gaps_with_a_hot_session(spark):
+    r = random.Random(7)
+    rows = [(1, r.randint(0, 3000)) for _ in range(200)] + [(2, 5), (2, 5), (2, 100)]
+    df = spark.createDataFrame(rows, "session_id long, ts_ms long")
+    plain, cut = ({tuple(x) for x in J.session_gaps(df, 20, h).select("session_id", "part", "start_ms", "end_ms", "beats").collect()} for h in (10**6, 30))
+    assert plain == cut and {x for x in plain if x[0] == 2} == {(2, 1, 5, 5, 2), (2, 2, 100, 100, 1)}
+
+
 def test_previous_values_across_blocks(spark):
     df = spark.range(300).select(F.col("id").alias("turn"))
     rows = T.with_previous(df, {"t": "turn"}, 3, block=16).collect()
