@@ -15,6 +15,7 @@ than the key and the text are dropped.
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -137,25 +138,38 @@ def encode(texts: DataFrame, key: str = "doc_id", text: str = "text", path: str
     return joined.mapInArrow(_assemble([r.word for r in common], [r.word_ids for r in common]), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
-def id_table(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """(id, piece_hex): the bytes of every id, as hexadecimal text. Bounded by the vocabulary."""
-    import json
-
-    with open(vocabulary(path), encoding="utf-8") as f:
+@lru_cache(maxsize=2)
+def pieces(path: str) -> list[bytes]:
+    """Bytes of every id, in order of ids."""
+    with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(printable)]
     byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-    return spark.createDataFrame([(i, bytes(byte_of[c] for c in piece).hex()) for piece, i in vocab.items()], "id int, piece_hex string")
+    return [bytes(byte_of[c] for c in piece) for piece, _ in sorted(vocab.items(), key=lambda x: x[1])]
+
+
+def id_table(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """(id, piece): the bytes of every id. Bounded by the vocabulary."""
+    return spark.createDataFrame(list(enumerate(pieces(vocabulary(path)))), "id int, piece binary")
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
-    """(key, text): ids joined with their pieces and put together in order; an empty list gives ''.
+    """(key, text): each id joined with its piece and the pieces of a row put together; null and empty lists give ''.
 
-    Keys are expected to be unique; rows of one key would be mixed.
+    The table of pieces is bounded by the vocabulary, so the join runs inside
+    the map: a batch's ids are looked up at once and nothing is shuffled.
     """
-    pieces = F.broadcast(id_table(encoded.sparkSession, path))
-    parts = encoded.select(F.col(key).alias("key"), F.posexplode_outer(ids).alias("pos", "id")).join(pieces, "id", "left")
-    whole = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("piece_hex", F.lit("")).alias("hex")))).alias("parts"))
-    text = F.array_join(F.transform("parts", lambda p: p["hex"]), "")
-    return whole.select(F.col("key").alias(key), F.decode(F.unhex(text), "UTF-8").alias("text"))
+    file, kind = vocabulary(path), dict(encoded.dtypes)[key]
+
+    def run(batches):
+        table = pa.array(pieces(file), type=pa.binary())
+        for batch in batches:
+            lists = batch.column("ids")
+            offsets = lists.offsets.to_numpy()
+            found = table.take(lists.values.slice(offsets[0], offsets[-1] - offsets[0]))
+            parts = pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), found)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pc.binary_join(parts, b"").cast(pa.string())], names=["key", "text"])
+
+    rows = encoded.select(F.col(key).alias("key"), F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
+    return rows.mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
