@@ -135,12 +135,35 @@ shared AS (SELECT x.memory_id AS a, y.memory_id AS b, count(*) AS i FROM t x JOI
 SELECT a AS memory_a, b AS memory_b FROM shared JOIN n p ON p.memory_id = a JOIN n q ON q.memory_id = b WHERE i / (p.n + q.n - i) >= 0.6 - 1e-12
 """
 
+_P2 = """
+WITH v AS (
+  SELECT memory_id, any_value(embedding)::DOUBLE[] AS e FROM content_op
+  WHERE memory_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
+u AS (SELECT memory_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM v),
+near AS (
+  SELECT x.memory_id AS a, y.memory_id AS b, list_dot_product(x.u, y.u) AS s FROM u x JOIN u y ON x.memory_id <> y.memory_id AND list_dot_product(x.u, y.u) >= 0.9
+  QUALIFY row_number() OVER (PARTITION BY x.memory_id ORDER BY list_dot_product(x.u, y.u) DESC, y.memory_id) <= 5)
+SELECT DISTINCT least(a, b) AS memory_a, greatest(a, b) AS memory_b FROM near
+"""
+
+_P6_GROUPS = """
+WITH RECURSIVE once AS (SELECT memory_id, max(content) AS content, max(realm) AS realm FROM recall_hit WHERE memory_id IS NOT NULL GROUP BY 1),
+k AS (SELECT memory_id, realm, list_sort(list_distinct(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]{2,}'))) AS t FROM once WHERE realm IS NOT NULL),
+cls AS (SELECT memory_id, realm, t, min(memory_id) OVER (PARTITION BY realm, t) AS rep FROM k WHERE len(t) > 0),
+r AS (SELECT DISTINCT rep, realm, t FROM cls),
+links AS (SELECT x.rep AS a, y.rep AS b FROM r x JOIN r y ON x.realm = y.realm AND x.rep <> y.rep AND len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) >= 0.6 - 1e-12),
+reach AS (SELECT rep AS a, rep AS b FROM r UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT memory_id, (SELECT min(b) FROM reach WHERE reach.a = cls.rep) AS group_id, (SELECT count(*) FROM links WHERE links.a = cls.rep) AS n_links FROM cls
+"""
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_neighbours, p4_found, p4_weights, p6_found, p6_groups, p8_ids, p8_decoded, p9_pack, p9_fill, p10_found, p10_shares)}
 SQL = {
     "p1_found": _P1 + "SELECT query_id, memory_id FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, memory_id) = 1",
     "p1_ranking": _P1 + "SELECT * REPLACE (round(rrf, 9) AS rrf) FROM fused",
+    "p2_found": _P2,
     "p4_found": _P4 + "SELECT memory_id, term FROM weights WHERE tf >= 3 AND df <= 5",
     "p4_weights": _P4 + "SELECT * REPLACE (round(weight, 6) AS weight) FROM weights",
     "p6_found": _P6,
+    "p6_groups": _P6_GROUPS,
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
