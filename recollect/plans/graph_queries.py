@@ -385,6 +385,8 @@ SQL = {
     + "".join(f", i{k} AS (SELECT dst AS node, sum(weight * level) AS i FROM cp JOIN y{k} ON src = node GROUP BY 1), y{k + 1} AS (SELECT coalesce(a.node, b.node) AS node, 1.0 / (1.0 + exp(-(coalesce(i, 0e0) + coalesce(level, 0e0) - 0.5) * 4.0)) AS level FROM i{k} a FULL JOIN y{k} b ON a.node = b.node)" for k in range(3))
     + " SELECT node, round(level, 6) AS level FROM y3",
     "g_illegal_edges": duck("edge", "memory") + f", c AS (SELECT memory_id, {_CLS} AS class FROM memory) SELECT src, dst, type, a.class AS c1, b.class AS c2 FROM edge JOIN c a ON src = a.memory_id JOIN c b ON dst = b.memory_id WHERE a.class IN ('Observation', 'Decision') AND b.class = 'Thought'",
+    "g_prefix_conflicts": duck("memory")
+    + ", p AS (SELECT memory_id, realm, content, array_to_string(list_slice(string_split_regex(lower(trim(content)), '\\s+'), 1, 3), ' ') AS prefix FROM memory WHERE realm IS NOT NULL AND content IS NOT NULL), h AS (SELECT realm, prefix, min(memory_id) AS a, arg_min(content, memory_id) AS c FROM p GROUP BY 1, 2 HAVING count(*) > 1) SELECT a, memory_id AS b, 0.6e0 AS score FROM p JOIN h USING (realm, prefix) WHERE memory_id <> a AND content <> c ORDER BY 1, 2 LIMIT 50",
     "g_contradictions": _CLAIM + "SELECT * FROM con",
     "g_transitive": _CLAIM
     + ", bo AS (SELECT a AS x, b AS y, score FROM con UNION ALL SELECT b, a, score FROM con), tr AS (SELECT p.x AS a, q.y AS b, 0.85 * max(least(p.score, q.score)) AS score FROM bo p JOIN bo q ON p.y = q.x AND p.x < q.y GROUP BY 1, 2) SELECT a, b, round(score, 6) AS score FROM tr WHERE score >= 0.5 AND NOT EXISTS (SELECT 1 FROM con WHERE con.a = tr.a AND con.b = tr.b)",

@@ -398,6 +398,8 @@ SQL = {
     "f_activation": duck("tape")
     + ", g AS (SELECT session_id AS memory_id, list_reverse(list_slice(list_reverse_sort(list(ts_ms)), 1, 16)) AS t, count(*) AS n, min(ts_ms) AS c FROM tape GROUP BY 1), s AS (SELECT *, list_sum(list_transform(t, lambda x: pow(greatest(1735689600000 - x, 60000) / 86400000e0, -0.5))) + greatest(n - len(t), 0) * pow(greatest(1735689600000 - c, 60000) / 86400000e0, -0.5) / 0.5 AS total, list_transform(range(2, len(t) + 1), lambda i: greatest(t[i] - t[i - 1], 1)::DOUBLE) AS gaps FROM g) SELECT memory_id, round(1.0 / (1.0 + exp(-(ln(total) + 1.0) / 1.5)), 6) AS activation, round(CASE WHEN len(t) >= 3 THEN 1.0 / (1.0 + list_stddev_pop(gaps) / list_avg(gaps)) ELSE 0e0 END, 6) AS spacing FROM s",
     "f_learned_weight": _MEMSQL + "SELECT memory_id, round(least(greatest(strength + valence, 0.1), 0.9), 6) AS weight FROM memory",
+    "f_state_fold": duck("delta")
+    + ", e AS (SELECT *, coalesce(last_value(op_ts_ms IGNORE NULLS) OVER (PARTITION BY instance_id ORDER BY seqno ROWS UNBOUNDED PRECEDING), 0) AS t FROM delta), l AS (SELECT memory_id, list({'s': 0e0, 'l': 0::BIGINT, 'n': 0::BIGINT, 'd': strength_delta, 't': t::BIGINT} ORDER BY t, instance_id, seqno) AS ops FROM e GROUP BY 1), r AS (SELECT memory_id, list_reduce(ops, lambda a, e: CASE WHEN e.t > 0 AND e.t <= a.l THEN a ELSE {'s': least(greatest(a.s + e.d, 0e0), 1e0), 'l': greatest(a.l, e.t), 'n': a.n + 1, 'd': 0e0, 't': 0::BIGINT} END, {'s': 0.5e0, 'l': (-1)::BIGINT, 'n': 0::BIGINT, 'd': 0e0, 't': 0::BIGINT}) AS r FROM l) SELECT memory_id, round(r.s, 6) AS strength, r.n AS applied FROM r",
     "f_outcome_posterior": duck("tape") + "SELECT session_id, round((1 + sum(CASE WHEN outcome = 0 AND value > 0 THEN least(value / 20e0, 5) ELSE 0 END)) / (2 + sum(CASE WHEN value > 0 THEN least(value / 20e0, 5) ELSE 0 END)), 6) AS utility FROM tape GROUP BY 1",
     "e_semantic": duck("memory", "vectors") + _SEM(15, (-0.6, 0.7)) + "SELECT memory_id, round(score, 6) AS score FROM sem",
     "e_keyword": _TERMS + _KW(15, (-0.6, 0.7)) + "SELECT memory_id, round(score, 6) AS score FROM kw",

@@ -328,6 +328,10 @@ SQL = {
     "j_source_weights": duck("feedback") + "SELECT source, domain, count(*) AS n, round(avg(CAST(useful AS INTEGER)), 6) AS rate, round(least(greatest(2 * avg(CAST(useful AS INTEGER)), 0), 2), 6) AS weight FROM feedback GROUP BY 1, 2",
     "j_wisdom": _WIS + "SELECT * FROM wl",
     "j_wisdom_stats": _WIS + "SELECT lifecycle, count(*) AS n FROM wl GROUP BY 1",
+    "j_adjudicated": duck("tape")
+    + ", l AS (SELECT session_id AS lineage, list({'s': CASE WHEN tool = 'view' THEN 0.3e0 ELSE 0e0 END, 'c': CASE WHEN outcome = 1 THEN 0.4e0 ELSE 0e0 END, 't': CASE WHEN tool = 'signup' THEN 0.05e0 ELSE 0e0 END, 'st': ''} ORDER BY ts_ms, turn) AS ops FROM tape GROUP BY 1), m AS (SELECT lineage, list_reduce(ops, lambda a, e: {'s': CASE WHEN e.s > 0 THEN least(a.s + e.s, 10e0) ELSE a.s END, 'c': CASE WHEN e.c > 0 THEN least(a.c + e.c, 10e0) ELSE a.c END, 't': CASE WHEN e.t > 0 THEN least(CASE WHEN e.s > 0 THEN greatest(a.t - 0.1e0, 0e0) ELSE a.t END + e.t, 1e0) WHEN e.s > 0 THEN greatest(a.t - 0.1e0, 0e0) ELSE a.t END, 'st': CASE WHEN a.st = 'Inflamed' THEN 'Inflamed' WHEN (CASE WHEN e.c > 0 THEN least(a.c + e.c, 10e0) ELSE a.c END) / (CASE WHEN e.s > 0 THEN least(a.s + e.s, 10e0) ELSE a.s END + 0.01) > 0.6 THEN 'Inflamed' WHEN (CASE WHEN e.c > 0 THEN least(a.c + e.c, 10e0) ELSE a.c END) / (CASE WHEN e.s > 0 THEN least(a.s + e.s, 10e0) ELSE a.s END + 0.01) > 0.3 AND a.st = 'Trusted' THEN 'Watch' ELSE a.st END}, {'s': 1e0, 'c': 0e0, 't': 0e0, 'st': 'Trusted'}) AS r FROM l) SELECT lineage, round(r.s, 6) AS support, round(r.c, 6) AS contradiction, round(r.t, 6) AS staleness, r.st AS state FROM m",
+    "j_recommended_window": duck("tape")
+    + ", l AS (SELECT tool AS session_type, list({'m': turn % 40 + 1e0, 'n': least(value / 100, 1e0)} ORDER BY ts_ms, turn % 40 + 1e0, least(value / 100, 1e0)) AS ops FROM tape GROUP BY 1), m AS (SELECT session_type, list_reduce(ops, lambda a, e: {'m': a.m + (e.m * e.n + least(greatest(round(a.m), 3e0), 50e0) * (1e0 - e.n) - a.m) / (a.n + 1e0), 'n': a.n + 1e0}, {'m': 10e0, 'n': 1e0}) AS r FROM l) SELECT session_type, CAST(least(greatest(round(r.m), 3e0), 50e0) AS BIGINT) AS \"window\" FROM m",
     "i_staleness_tick": _LIN
     + ", t AS (SELECT *, state IN ('Trusted', 'Watch') AND 1735689600000 - last_supported_ms > 259200000 AS due FROM lin), n AS (SELECT *, CASE WHEN due THEN least(staleness + 0.05, 1.0) ELSE staleness END AS ns, contradiction / (support + 0.01) AS ratio FROM t) SELECT lineage, round(ns, 6) AS new_staleness, CASE WHEN NOT due THEN state WHEN ratio > 0.6 OR ns > 0.7 THEN 'Inflamed' WHEN state = 'Trusted' AND (ratio > 0.3 OR ns > 0.4) THEN 'Watch' ELSE state END AS new_state FROM n",
     "i_expired": _LIN + f"SELECT lineage FROM lin WHERE 1735689600000 - last_supported_ms > {7 * DAY} AND state = 'Inflamed'",

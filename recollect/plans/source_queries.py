@@ -93,34 +93,34 @@ def _event_stream(s, d):
 
 
 def a_stream_tail(s, d):
-    out = logs.drain(_event_stream(s, d).select("event_id", "event_type"), "tail_events", storage.new_path(s, "stream"))
+    out = logs.drain(_event_stream(s, d).select("event_id", "event_type"), storage.new_path(s, "stream"))
     return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def i_stream_windows(s, d):
-    out = logs.drain(logs.windowed_counts(_event_stream(s, d), window="1 hour"), "window_counts", storage.new_path(s, "stream"), "complete")
+    out = logs.drain(logs.windowed_counts(_event_stream(s, d), window="1 hour"), storage.new_path(s, "stream"), "complete")
     return out.select(F.unix_millis("start").alias("start_ms"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def i_stream_sessions(s, d):
-    out = logs.drain(logs.sessions(_event_stream(s, d), "12 hours", "1 hour"), "session_counts", storage.new_path(s, "stream"), "complete")
+    out = logs.drain(logs.sessions(_event_stream(s, d), "12 hours", "1 hour"), storage.new_path(s, "stream"), "complete")
     return out.select("user_id", F.unix_millis("start").alias("start_ms"), "n")
 
 
 def i_stream_credit(s, d):
     x = _event_stream(s, d).select(F.col("user_id").alias("memory_id"), F.col("event_id").alias("id"), F.unix_millis("ts").alias("ts_ms"), (F.least(F.col("value") / 200, F.lit(1.0)) + 0.5).alias("magnitude"), F.when(F.col("event_type") == "error", -1).otherwise(1).alias("dir"))
-    return logs.drain(logs.surprise_credit(x), "credit_changes", storage.new_path(s, "stream")).select("memory_id", "id", F.round("delta", 6).alias("delta"), F.round("credit", 6).alias("credit"))
+    return logs.drain(logs.surprise_credit(x), storage.new_path(s, "stream")).select("memory_id", "id", F.round("delta", 6).alias("delta"), F.round("credit", 6).alias("credit"))
 
 
 def i_stream_triggers(s, d):
     armed = s.createDataFrame([(1, "error"), (2, "signup")], "trigger_id long, event_type string")
-    out = logs.drain(logs.matches(_event_stream(s, d), armed), "fired_triggers", storage.new_path(s, "stream"))
+    out = logs.drain(logs.matches(_event_stream(s, d), armed), storage.new_path(s, "stream"))
     return out.groupBy("trigger_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def h_stream_refutations(s, d):
     x = _event_stream(s, d).select(F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")).alias("a"), F.lit("view").alias("b"), F.col("event_id").alias("turn"), (F.col("event_type") == "view").alias("hit"))
-    return logs.drain(logs.refutation_changes(x), "refutation_changes", storage.new_path(s, "stream"))
+    return logs.drain(logs.refutation_changes(x), storage.new_path(s, "stream"))
 
 
 def b_intent(s, d):

@@ -89,8 +89,17 @@ def matches(events: DataFrame, triggers: DataFrame) -> DataFrame:
     return events.join(triggers, "event_type").select("trigger_id", "event_id", "ts")
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return its result table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there and return its result, written to the shared folder.
+
+    Appended rows go to a Parquet sink, which commits each batch once; a complete
+    result replaces the one before it.
+    """
+    path = f"{checkpoint}-result"
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        out = out.format("parquet").option("path", path)
+    else:
+        out = out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    out.start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
