@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.operators.ordering import HOT_ROWS, SPLITS, block_of, hot_bounds
+from recollect.operators.ordering import HOT_ROWS, SPLITS, block_of, hot_bounds, ordered
 
 RRF_K = 60
 
@@ -75,6 +75,12 @@ def fuse(hits: DataFrame, query: str, item: str, scores: list[str], k: int = RRF
     return plain(rows.join(keys, query, "left_anti")).unionByName(large.select(*out)).withColumn("rrf", total)
 
 
+def positions(fused: DataFrame, query: str, item: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``position``, 1 for the first of each query; ties go to the smaller item."""
+    rows = fused.withColumn("_minus", -F.col("rrf"))
+    return ordered(rows, [query], ["_minus", item], number="position", hot_rows=hot_rows).drop("_minus")
+
+
 def best(fused: DataFrame, query: str, item: str) -> DataFrame:
     """The first item of each query, by a pre-aggregated maximum."""
     return fused.groupBy(query).agg(F.max(F.struct("rrf", (-F.col(item)).alias("_m"))).alias("_b")).select(query, (-F.col("_b._m")).alias(item))

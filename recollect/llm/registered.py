@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm.fusion import best, fuse
+from recollect.llm.fusion import best, fuse, positions
 from recollect.llm.near_duplicates import NearDuplicates
 from recollect.llm.packing import pack
 from recollect.llm.subjects import classify, fit
@@ -29,8 +29,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hit with its rank in each score and its fused value."""
-    return _fused(spark, sf_dir).withColumn("rrf", F.round("rrf", 9))
+    """Every hit with its rank in each score, its fused value and its position."""
+    return positions(_fused(spark, sf_dir), "query_id", "memory_id").withColumn("rrf", F.round("rrf", 9))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +159,7 @@ SELECT memory_id, (SELECT min(b) FROM reach WHERE reach.a = cls.rep) AS group_id
 QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_neighbours, p4_found, p4_weights, p6_found, p6_groups, p8_ids, p8_decoded, p9_pack, p9_fill, p10_found, p10_shares)}
 SQL = {
     "p1_found": _P1 + "SELECT query_id, memory_id FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, memory_id) = 1",
-    "p1_ranking": _P1 + "SELECT * REPLACE (round(rrf, 9) AS rrf) FROM fused",
+    "p1_ranking": _P1 + "SELECT * REPLACE (round(rrf, 9) AS rrf), CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, memory_id) AS INTEGER) AS position FROM fused",
     "p2_found": _P2,
     "p4_found": _P4 + "SELECT memory_id, term FROM weights WHERE tf >= 3 AND df <= 5",
     "p4_weights": _P4 + "SELECT * REPLACE (round(weight, 6) AS weight) FROM weights",

@@ -7,7 +7,7 @@ from compare import same
 from conftest import SF
 
 from recollect.llm import registered as R
-from recollect.llm.fusion import best, fuse
+from recollect.llm.fusion import best, fuse, positions
 from recollect.llm.weighting import log_entropy
 
 
@@ -40,6 +40,10 @@ def test_fusion_with_hot_queries_ties_and_gaps(spark, hot_rows, splits):
     fused = fuse(df, "q", "m", ["a", "b"], hot_rows=hot_rows, splits=splits)
     want = brute(rows)
     assert {(x["q"], x["m"]): pytest.approx(x["rrf"]) for x in fused.collect()} == want
+    place = {(x["q"], x["m"]): x["position"] for x in positions(fused, "q", "m", hot_rows).collect()}
+    for q in {q for q, _ in want}:
+        got = [want[k] for k in sorted((k for k in want if k[0] == q), key=place.get)]
+        assert got == pytest.approx(sorted(got, reverse=True)) and sorted(place[k] for k in want if k[0] == q) == list(range(1, len(got) + 1))
     first = {q: min((-v, m) for (p, m), v in want.items() if p == q)[1] for q, _ in want}
     got = {x["q"]: x["m"] for x in best(fused, "q", "m").collect()}
     assert all(want[q, got[q]] == pytest.approx(want[q, first[q]]) for q in first) and got.keys() == first.keys()
