@@ -416,6 +416,8 @@ SQL = {
     "h_experiments": _H + _MKT + "SELECT a, b, round(probe_value, 6) AS probe_value FROM market WHERE probe_value > 0.4 AND ratio < 0.3 ORDER BY market.probe_value DESC, a, b LIMIT 10",
     "h_compressed": _H + _CONT + ", x AS (SELECT turn, outcome, session_id, sym, lag(sym) OVER (ORDER BY turn) AS a, lag(session_id) OVER (ORDER BY turn) AS pv, lead(session_id) OVER (ORDER BY turn) AS nx FROM sy) SELECT turn FROM x LEFT JOIN cont ON cont.a = x.a AND cont.b = x.sym WHERE NOT (outcome = 0 AND pv IS NOT NULL AND pv = session_id AND nx IS NOT NULL AND nx = session_id AND coalesce(pow(2, ln(cont.p)) > 0.01, false))",
     "h_tape_stats": duck("tape") + "SELECT count(*) AS events, count(*) FILTER (outcome > 0) AS failures, count(DISTINCT session_id) AS sessions FROM tape",
+    "h_health": duck("tape")
+    + ", s AS (SELECT CAST(floor(turn / 100) AS BIGINT) AS sample, count(*) AS events, count(*) FILTER (outcome > 0) AS refuted, count(DISTINCT session_id) AS states, avg(value / 100) AS probe FROM tape GROUP BY 1), d AS (SELECT *, coalesce(states - lag(states) OVER (ORDER BY sample), 0) AS ds, coalesce(events - lag(events) OVER (ORDER BY sample), 0) AS de FROM s) SELECT sample, CASE WHEN refuted > 0 AND refuted * 2 >= 60 THEN 'refutation_flood' WHEN ds = 0 AND de > 20 THEN 'stale' WHEN probe > 0.65 THEN 'high_uncertainty' WHEN sample % 7 / 10.0 > 0.5 THEN 'fep_context_drift' WHEN sample % 5 / 10.0 > 0.3 THEN 'fep_emission_shock' ELSE 'healthy' END AS diagnosis FROM d",
     "h_policies": duck("tape") + ", p AS (SELECT session_id AS policy, count(*) AS shadow, avg(outcome) AS bad, avg(value) / 100 - 0.1 AS lift FROM tape GROUP BY 1) SELECT policy, CASE WHEN bad > 0.3 THEN 'demote' WHEN shadow >= 20 AND lift > 0.15 THEN 'promote' ELSE 'keep' END AS decision FROM p",
     "h_transitions": duck("tape") + ", x AS (SELECT lag(session_id % 20) OVER (ORDER BY turn) AS src, session_id % 20 AS dst FROM tape), c AS (SELECT src, dst, count(*) AS n FROM x WHERE src IS NOT NULL AND src <> dst GROUP BY 1, 2), p AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS p FROM c) SELECT src, dst, round(p, 6) AS p FROM p WHERE p >= 0.01 QUALIFY row_number() OVER (PARTITION BY src ORDER BY p DESC, dst) <= 32",
     "h_costed": duck("tape") + "SELECT turn, round(CASE WHEN outcome = 0 THEN 1.0 ELSE -1.0 END - value / 10000.0 - value * 10 / 60000.0 - 0.1 * (turn % 3), 6) AS utility FROM tape",

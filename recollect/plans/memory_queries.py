@@ -261,6 +261,8 @@ SQL = {
     "c_spans": _SPAN + "SELECT * FROM span",
     "c_span_unlink": _N + ", a AS (SELECT memory_id, unnest(list_distinct(regexp_extract_all(content, '" + L.PATHS.replace("'", "''") + "', 1))) AS text FROM note WHERE memory_id % 5 <> 0) SELECT text, count(*) AS n FROM a GROUP BY 1",
     "c_span_histogram": _SPAN + "SELECT class, count(*) AS n_rows, count(*) FILTER (n = 1) AS singletons, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM span GROUP BY 1",
+    "c_span_query": _SPAN
+    + f", x AS (SELECT class, text, (CASE WHEN contains(lower(text), 'src') THEN 1e0 ELSE 0e0 END + CASE WHEN contains(lower(text), 'mod') THEN 1e0 ELSE 0e0 END) / 2 * CASE WHEN lower(text) = 'src mod' THEN 2e0 ELSE 1e0 END * (1 + ln(1 + n) / 10) * (0.5e0 + 0.5e0 / (1 + greatest({NOW} - last_ms, 0) / 86400000e0 / 365e0)) AS score FROM span WHERE contains(lower(text), 'src') OR contains(lower(text), 'mod')) SELECT class, text, round(score, 6) AS score FROM x ORDER BY x.score DESC, class, text LIMIT 20",
     "b_provenance": _N
     + ", k AS (SELECT memory_id, created_ms, unnest(regexp_extract_all(lower(content), '(?:^|\\s)((?:sha|input):[^\\s;,]+)', 1)) AS key FROM note WHERE starts_with(lower(ltrim(content)), '[done]')) SELECT key, arg_min(memory_id, created_ms * 1000000 + memory_id) AS memory_id, count(*) AS n FROM k GROUP BY 1",
     "b_correction_keys": _CORRW + "SELECT memory_id, unnest(keys) AS key FROM k",

@@ -382,6 +382,7 @@ SQL = {
     + _UNIT
     + ", mu AS (SELECT list(m ORDER BY pos) AS mu FROM (SELECT pos, avg(x) AS m FROM flat GROUP BY 1)), c AS (SELECT memory_id, list_transform(range(1, 65), lambda i: u[i] - mu[i]) AS c FROM u, mu), cq AS (SELECT c AS e FROM c WHERE memory_id = 0), x AS (SELECT memory_id, list_dot_product(c, e) / (sqrt(list_dot_product(c, c)) * sqrt(list_dot_product(e, e))) AS similarity FROM c, cq) "
     + _TOP.format(t="x", k=20),
+    "d_codes": _V + f", c AS (SELECT memory_id, CAST({_CODE} AS HUGEINT) AS code FROM vectors) SELECT memory_id, CAST(CASE WHEN code >= 9223372036854775808 THEN code - 18446744073709551616 ELSE code END AS BIGINT) AS code FROM c",
     "d_hamming": _V + f", c AS (SELECT memory_id, {_CODE} AS code FROM vectors) SELECT a.memory_id, CAST(bit_count(xor(a.code, b.code)) AS BIGINT) AS distance FROM c a, c b WHERE b.memory_id = 0",
     "d_hamming_prefilter": _V
     + _SIM
