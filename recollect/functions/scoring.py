@@ -168,12 +168,17 @@ def decompose(rows: DataFrame, ctx: Context, factors: dict[str, Callable[[Contex
     for name, kind in OPTIONAL.items():
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
-    on = {n: f for n, f in factors.items() if n not in ctx.disabled}
-    rows = rows.withColumns({f"f_{n}": f(ctx).cast("double") for n, f in on.items()} | {"relevance": relevance(ctx.mode)})
+    parts = {f"f_{n}": f(ctx).cast("double") for n, f in factors.items() if n not in ctx.disabled} | {"relevance": relevance(ctx.mode)}
+    # One condition per factor, before the projection: the optimizer derives constraints from
+    # conditions, and one over the whole product would multiply by every factor's name.
+    for p in parts.values():
+        rows = rows.where(p.isNotNull())
+    rows = rows.withColumns(parts)
     product: Column = F.lit(1.0)
-    for n in on:
-        product = product * F.col(f"f_{n}")
-    rows = rows.withColumn("secondary", product).where(F.col("secondary").isNotNull() & F.col("relevance").isNotNull())
+    for n in parts:
+        if n != "relevance":
+            product = product * F.col(n)
+    rows = rows.withColumn("secondary", product)
     return rows.withColumn("score", F.col("relevance") * (0.7 + 0.3 * F.col("secondary")))
 
 

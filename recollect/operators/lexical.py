@@ -41,9 +41,9 @@ def idf(n: Column, df: Column) -> Column:
 
 def term_stats(memory: DataFrame, terms: list[str]) -> DataFrame:
     """(term, df, n, avg_length, idf) of the given terms in one pass over the documents."""
-    docs = memory.select(tokenize(F.col("content")).alias("t")).where(F.size("t") > 0)
-    hits = [F.sum(F.array_contains("t", w).cast("long")).alias(f"_{i}") for i, w in enumerate(terms)]
-    row = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avg_length"), *hits)
+    docs = memory.select(tokenize(F.col("content")).alias("t"))  # no filter on t: pushed down, it would tokenize twice
+    hits = [F.count_if(F.array_contains("t", w)).alias(f"_{i}") for i, w in enumerate(terms)]
+    row = docs.agg(F.count_if(F.size("t") > 0).alias("n"), F.avg(F.nullif(F.size("t"), F.lit(0))).alias("avg_length"), *hits)
     pairs = F.explode(F.array(*[F.struct(F.lit(w).alias("term"), F.coalesce(F.col(f"_{i}"), F.lit(0)).alias("df")) for i, w in enumerate(terms)])).alias("p")
     out = row.select("n", "avg_length", pairs).select("p.term", "p.df", "n", "avg_length")
     return out.where(F.col("df") > 0).withColumn("idf", idf(F.col("n"), F.col("df")))
@@ -74,17 +74,21 @@ def bm25(memory: DataFrame, query: str, k: int | None) -> DataFrame:
     """(memory_id, bm25), best first, ties to the smaller id.
 
     The query's few terms are bound into the scan as an expression: one pass for
-    their statistics, one for the scores, no posting list and no shuffle but the
-    final top-k.
+    their statistics, one for the scores, in which only texts that hold a term
+    are tokenized; no posting list and no shuffle but the final top-k.
     """
     chosen = select_terms(term_stats(memory, query_tokens(query))).collect() if query_tokens(query) else []  # four rows at most
-    tokens = memory.select("memory_id", tokenize(F.col("content")).alias("t"))
+    low, holds = F.lower("content"), F.lit(False)
+    for r in chosen:
+        holds = holds | F.contains(low, F.lit(r["term"]))
+    tokens = memory.where(holds).select("memory_id", tokenize(F.col("content")).alias("t"))
     score: Column = F.lit(0.0)
     for r in chosen:
         tf = _count("t", r["term"]).cast("double")
         score = score + F.when(tf > 0, F.lit(float(r["idf"])) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("t") / F.lit(float(r["avg_length"]))))).otherwise(0.0)
-    hits = tokens.select("memory_id", score.alias("bm25")).where(F.col("bm25") > 0)
-    return hits if k is None else hits.orderBy(F.col("bm25").desc(), "memory_id").limit(k)
+    hits = tokens.select("memory_id", score.alias("bm25"))
+    best = hits if k is None else hits.orderBy(F.col("bm25").desc(), "memory_id").limit(k)
+    return best.where(F.col("bm25") > 0)
 
 
 #: Prefixes that mark a signature line.

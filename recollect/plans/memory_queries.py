@@ -196,7 +196,7 @@ def _examples(s, d):
 
 
 def c_lite_train(s, d):
-    return L.lite_train(_examples(s, d)).select("term", "feature", F.round("weight", 6).alias("weight"), F.round("idf", 6).alias("idf"))
+    return L.lite_train(_examples(s, d)).select("term", "feature", F.round("weight", 9).alias("weight"), F.round("idf", 6).alias("idf"))
 
 
 def c_lite_encode(s, d):
@@ -274,7 +274,7 @@ SQL = {
     + " SELECT memory_id, predicate, trim(object) AS object, predicate = 'dislikes' AS negative FROM ("
     + " UNION ALL ".join(f"SELECT memory_id, '{n}' AS predicate, unnest(regexp_extract_all(lower(content), '{p.replace(chr(39), chr(39) * 2)}', 1)) AS object FROM note" for n, p in L.FIRST_PERSON.items())
     + ")",
-    "c_lite_train": _EX + "SELECT term, feature, round(weight, 6) AS weight, round(idf, 6) AS idf FROM model",
+    "c_lite_train": _EX + "SELECT term, feature, round(weight, 9) AS weight, round(idf, 6) AS idf FROM model",
     "c_lite_encode": _EX
     + f", tf AS (SELECT id, term, count(*) AS tf FROM (SELECT memory_id AS id, unnest({_TOK}) AS term FROM memory WHERE content IS NOT NULL) GROUP BY 1, 2), v AS (SELECT id, feature, sum(tf * idf * weight) AS value FROM tf JOIN model USING (term) GROUP BY 1, 2) SELECT id, feature, round(value, 4) AS value FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY value DESC, feature) <= 8",
     "c_signature_text": _N + "SELECT memory_id, length(array_to_string(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '^\\s*(" + "|".join(re.escape(x) for x in L.SIGNATURES) + ")')), chr(10))) AS n FROM note",
