@@ -56,7 +56,8 @@ def test_wilson(spark):
     assert (value(spark, low), value(spark, high)) == (pytest.approx(0.4902, abs=1e-4), pytest.approx(0.9433, abs=1e-4))
 
 
-def test_fold_against_a_loop(spark):
+@pytest.mark.parametrize("hot_rows", [10, 10**6])
+def test_fold_against_a_loop(spark, hot_rows):
     r = random.Random(3)
     rows = [(r.randint(0, 9), r.randint(0, 3), n, r.choice([None, 0, r.randint(1, 60)]), r.uniform(-0.4, 0.4)) for n in range(400)]
     once, last, eff = {}, {}, []
@@ -72,7 +73,7 @@ def test_fold_against_a_loop(spark):
         if not (t > 0 and t <= seen):
             state[m] = (min(max(s + d, 0.0), 1.0), max(seen, t), k + 1)
     df = spark.createDataFrame([(m, w, n, t, d) for m, w, n, t, d in rows], "memory_id long, instance_id long, seqno long, op_ts_ms long, strength_delta double")
-    got = {x["memory_id"]: (x["strength"], x["applied"]) for x in fold_deltas(df.withColumn("op_ts_ms", F.nullif("op_ts_ms", F.lit(0)))).collect()}
+    got = {x["memory_id"]: (x["strength"], x["applied"]) for x in fold_deltas(df.withColumn("op_ts_ms", F.nullif("op_ts_ms", F.lit(0))), hot_rows=hot_rows).collect()}
     assert got == {m: (pytest.approx(s), k) for m, (s, _, k) in state.items()}
 
 
