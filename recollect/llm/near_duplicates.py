@@ -31,8 +31,6 @@ BANDS, ROWS, SKETCH, STEP = 40, 4, 32, 8
 TOLERANCE = 1e-4
 #: Rows of one band value met in one run; larger ones are cut into blocks that meet pairwise.
 RUN = 2_000
-#: Classes up to this size are expanded to all their members in ``pairs``.
-EXPAND = 64
 
 
 def records(rows: DataFrame) -> DataFrame:
@@ -206,7 +204,7 @@ class NearDuplicates:
 
     def __init__(self, rows: DataFrame, threshold: float = 0.6, run: int = RUN):
         docs = materialize(records(rows), "dup-records")
-        self.docs = docs
+        self.docs, self.run = docs, run
         self.classes = materialize(docs.groupBy("realm", "terms").agg(F.min("memory_id").alias("rep"), F.count(F.lit(1)).alias("n")), "dup-classes")
         found = materialize(candidates(materialize(signatures(self.classes), "dup-signatures"), threshold, run), "dup-candidates")
         side = lambda c: self.classes.select(F.col("rep").alias(c), F.col("terms").alias(f"t{c}"), F.col("n").alias(f"n{c}"))
@@ -220,22 +218,29 @@ class NearDuplicates:
         several = self.classes.where(F.col("n") > 1).select("realm", "terms", "rep")
         return self.docs.join(several, ["realm", "terms"]).select("memory_id", "rep")
 
-    def pairs(self, expand: int = EXPAND) -> DataFrame:
-        """(memory_a, memory_b): links between classes, and members of one class.
+    def pairs(self, expand: int | None = None) -> DataFrame:
+        """(memory_a, memory_b): links between classes, and members of one class, member by member.
 
-        Classes of up to ``expand`` members are given member by member. A larger
-        one is given by its representative, and each member linked to that.
+        Classes above ``run`` members are cut into blocks by id hash that meet
+        pairwise. Only if ``expand`` is given, a class of more members is given
+        by its representative, and each member linked to that.
         """
-        small = self.members().join(self.classes.where(F.col("n") <= expand).select("rep"), "rep")
+        whole = self.classes.where(F.col("n") > 1) if expand is None else self.classes.where(F.col("n").between(2, expand))
+        blocks = whole.select("rep", F.ceil(F.col("n") / self.run).cast("int").alias("blocks"))
+        who = self.members().join(blocks, "rep").withColumn("blk", F.pmod(F.xxhash64("memory_id"), F.col("blocks")).cast("int"))
+        who = materialize(who, "dup-members")
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1))
         inner = self.links.select(F.col("a").alias("memory_a"), F.col("b").alias("memory_b"))
-        who = small.select("rep", "memory_id")
-        full = (
-            self.links.where((F.col("na") > 1) | (F.col("nb") > 1))
-            .join(who.toDF("a", "ma"), "a", "left")
-            .join(who.toDF("b", "mb"), "b", "left")
-            .select(F.coalesce("ma", "a").alias("memory_a"), F.coalesce("mb", "b").alias("memory_b"))
-        )
-        copies = small.toDF("rep", "x").join(small.toDF("rep", "y"), "rep").where("x < y").select(F.col("x").alias("memory_a"), F.col("y").alias("memory_b"))
-        star = self.members().join(self.classes.where(F.col("n") > expand).select("rep"), "rep").where(F.col("rep") != F.col("memory_id")).select(F.col("rep").alias("memory_a"), F.col("memory_id").alias("memory_b"))
-        both = inner.unionByName(full).unionByName(copies).unionByName(star)
+        full = self.links.where((F.col("na") > 1) | (F.col("nb") > 1))
+        for c in ("a", "b"):
+            full = full.join(blocks.toDF(c, "blocks"), c, "left").withColumn(f"blk{c}", every(F.col("blocks"))).drop("blocks")
+            full = full.join(who.select(F.col("rep").alias(c), F.col("blk").alias(f"blk{c}"), F.col("memory_id").alias(f"m{c}")), [c, f"blk{c}"], "left")
+        full = full.select(F.coalesce("ma", "a").alias("memory_a"), F.coalesce("mb", "b").alias("memory_b"))
+        x = who.select("rep", F.col("blk").alias("p"), every(F.col("blocks")).alias("q"), F.col("memory_id").alias("memory_a"))
+        y = who.select("rep", every(F.col("blocks")).alias("p"), F.col("blk").alias("q"), F.col("memory_id").alias("memory_b"))
+        copies = x.join(y, ["rep", "p", "q"]).where("memory_a < memory_b").select("memory_a", "memory_b")
+        both = inner.unionByName(full).unionByName(copies)
+        if expand is not None:
+            large = self.members().join(self.classes.where(F.col("n") > expand).select("rep"), "rep").where(F.col("rep") != F.col("memory_id"))
+            both = both.unionByName(large.select(F.col("rep").alias("memory_a"), F.col("memory_id").alias("memory_b")))
         return both.select(F.least("memory_a", "memory_b").alias("memory_a"), F.greatest("memory_a", "memory_b").alias("memory_b")).distinct()

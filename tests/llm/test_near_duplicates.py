@@ -68,3 +68,13 @@ def test_very_long_text(spark):
     text = " ".join(f"t{i}" for i in range(30_000))
     rows = [(1, text, "a", ""), (2, text + " more", "a", ""), (3, "short text", "a", "")]
     assert {tuple(r) for r in NearDuplicates(spark.createDataFrame(rows, COLUMNS)).pairs().collect()} == {(1, 2)}
+
+
+@pytest.mark.parametrize("run", [2000, 16])
+def test_large_classes_of_different_texts_are_whole(spark, run):
+    words = [f"w{i}" for i in range(12)]
+    r = random.Random(3)
+    rows = [(i, " ".join(r.sample(words, 12)), "a", "") for i in range(70)]
+    rows += [(100 + i, " ".join(r.sample(words, 12)) + " more", "a", "") for i in range(66)] + [(300, " ".join(words + ["else"]), "a", "")]
+    got = [tuple(p) for p in NearDuplicates(spark.createDataFrame(rows, COLUMNS), 0.6, run).pairs().collect()]
+    assert len(got) == len(set(got)) == 137 * 136 // 2
