@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from recollect.operators.vectors import block_search, search
 RRF_K = 60.0
 FETCH = 4
 LURE_RISK, LURE_MOST = 0.7, 2
+#: Vectors of one side of a product of the duplicate band.
+BAND_BLOCK = 2048
 
 
 def visible(memory: DataFrame, realm: str | None = None) -> DataFrame:
@@ -171,11 +174,35 @@ def harness_conflicts(vectors: DataFrame, memory: DataFrame, queries: DataFrame,
     return pairs.groupBy("a", "b").agg(F.min("score").alias("score")).orderBy("score", "a", "b").limit(limit)
 
 
-def near_duplicate_losers(vectors: DataFrame, queries: DataFrame, low: float = 0.88, high: float = 0.9999) -> DataFrame:
-    """Of two vectors of a realm in the duplicate band the later is superseded by the earliest."""
-    near = block_search(vectors, queries, 20, low, high)
-    pair = near.select(F.least("src", "dst").alias("keep"), F.greatest("src", "dst").alias("loser"), "similarity")
-    return pair.groupBy("loser").agg(F.min("keep").alias("keep"), F.max("similarity").alias("similarity"))
+def near_duplicate_losers(vectors: DataFrame, low: float = 0.88, high: float = 0.9999) -> DataFrame:
+    """Of two vectors of a realm in the duplicate band the later is superseded by the earliest; one row per loser.
+
+    Every vector of a realm meets every other: realms are cut into blocks by id
+    hash, every two blocks meet in one product, and only the fold per loser leaves it.
+    """
+    rows = vectors.where(F.col("realm").isNotNull() & F.col("embedding").isNotNull()).select("memory_id", "realm", "embedding")
+    blocks = rows.groupBy("realm").agg(F.ceil(F.count(F.lit(1)) / BAND_BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("memory_id"), F.col("blocks")).cast("int")
+    cut = rows.join(blocks, "realm").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select("memory_id", "realm", "embedding", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        ids, mine = table.column("memory_id").to_numpy(), table.column("own").to_numpy()
+        x = np.array(table.column("embedding").to_pylist(), dtype=np.float64)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        left, right = np.nonzero(mine == lo)[0], np.nonzero(mine == hi)[0]
+        s = x[left] @ x[right].T
+        i, j = np.nonzero((s >= low) & (s < high) & (ids[left][:, None] != ids[right][None]))
+        a, b, s = ids[left[i]], ids[right[j]], s[i, j]
+        loser, at = np.unique(np.maximum(a, b), return_inverse=True)
+        keep, best = np.full(len(loser), np.iinfo(np.int64).max), np.full(len(loser), -np.inf)
+        np.minimum.at(keep, at, np.minimum(a, b))
+        np.maximum.at(best, at, s)
+        return pa.table({"loser": loser, "keep": keep, "similarity": best})
+
+    found = cut.groupBy("realm", "lo", "hi").applyInArrow(meet, "loser long, keep long, similarity double")
+    return found.groupBy("loser").agg(F.min("keep").alias("keep"), F.max("similarity").alias("similarity"))
 
 
 def crowding(vectors: DataFrame, memory: DataFrame, queries: DataFrame, high: float = 0.9999) -> DataFrame:

@@ -289,11 +289,11 @@ def e_knn_edges(s, d):
 
 
 def e_harness_conflicts(s, d):
-    return R.harness_conflicts(_vec(s, d), _mem(s, d), _stated(s, d), 50).select("a", "b", R6("score"))
+    return R.harness_conflicts(_vec(s, d), _mem(s, d), _vec(s, d), 50).select("a", "b", R6("score"))
 
 
 def e_near_duplicates(s, d):
-    return R.near_duplicate_losers(_vec(s, d), _stated(s, d), 0.05, 0.9999).select("loser", "keep", R6("similarity"))
+    return R.near_duplicate_losers(_vec(s, d), 0.05, 0.9999).select("loser", "keep", R6("similarity"))
 
 
 def e_crowding(s, d):
