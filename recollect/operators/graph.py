@@ -14,6 +14,8 @@ from recollect.storage import materialize
 #: What an association type is worth when followed.
 PRIOR = {"DerivedFrom": 1.0, "SameArtifact": 0.8, "SameSession": 0.6, "CoRetrieved": 0.5, "Supports": 0.4, "Contradicts": 0.3, "SemanticNeighbor": 0.7}
 REVERSE = 0.3
+#: Rows of a key met in one run; larger keys are cut into blocks that meet pairwise.
+RUN = 2_000
 
 
 def valid_at(at_ms: int) -> Column:
@@ -256,31 +258,36 @@ def illegal_edges(edges: DataFrame, memory: DataFrame) -> DataFrame:
     return both.where(~legal(F.col("c1"), F.col("c2"))).select("src", "dst", "type", "c1", "c2")
 
 
-def prefix_conflicts(memory: DataFrame, words: int = 6, most: int = 50) -> DataFrame:
-    """Memories of a realm with the same first words but other content: each linked with the first of its group.
+def _met(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """All pairs a < b of the rows of one key, the values as (a, <value>_a) and (b, <value>_b).
 
-    Linking to the first, and not all pairs, keeps a group of any size linear.
+    Keys above ``RUN`` rows are cut into blocks by id hash and every two blocks
+    meet in a key of their own, so no hot key is one task's work.
     """
+    sized = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("_n")).where(F.col("_n") > 0)
+    cut = rows.join(sized, keys).withColumn("_own", F.pmod(F.xxhash64("memory_id"), F.col("_n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    x = cut.select(*keys, F.col("_own").alias("_p"), every.alias("_q"), F.col("memory_id").alias("a"), *[F.col(v).alias(f"{v}_a") for v in values])
+    y = cut.select(*keys, every.alias("_p"), F.col("_own").alias("_q"), F.col("memory_id").alias("b"), *[F.col(v).alias(f"{v}_b") for v in values])
+    return x.join(y, [*keys, "_p", "_q"]).where("a < b")
+
+
+def prefix_conflicts(memory: DataFrame, words: int = 6, most: int = 50) -> DataFrame:
+    """Pairs of memories of a realm with the same first words but other content, the first ``most`` by id."""
     prefix = F.array_join(F.slice(F.split(F.lower(F.trim("content")), r"\s+"), 1, words), " ")
     rows = memory.where(F.col("realm").isNotNull() & F.col("content").isNotNull()).select("memory_id", "realm", "content", prefix.alias("prefix"))
-    head = rows.groupBy("realm", "prefix").agg(F.min(F.struct("memory_id", "content")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    out = rows.join(head, ["realm", "prefix"]).where((F.col("memory_id") != F.col("h.memory_id")) & (F.col("content") != F.col("h.content")))
-    return out.select(F.col("h.memory_id").alias("a"), F.col("memory_id").alias("b"), F.lit(0.6).alias("score")).orderBy("a", "b").limit(most)
+    out = _met(rows, ["realm", "prefix"], ["content"]).where("content_a <> content_b")
+    return out.select("a", "b", F.lit(0.6).alias("score")).orderBy("a", "b").limit(most)
 
 
 NEGATIVE = r"\b(not|no|never|without|neither|nor|nicht|pas|sin)\b"
 
 
 def claim_scores(claims: DataFrame, least: float = 0.65) -> DataFrame:
-    """Contradictions between claims (memory_id, realm, key, polarity, value).
-
-    Per (realm, key) each claim meets the first claim of the opposite polarity,
-    and the first of another value: linear in the size of a key's group.
-    """
-    first = claims.groupBy("realm", "key", "polarity").agg(F.min(F.struct("memory_id", "value")).alias("f"))
-    met = claims.join(first.select("realm", "key", F.col("polarity").alias("p2"), "f"), ["realm", "key"]).where(F.col("memory_id") != F.col("f.memory_id"))
-    opposite = F.when(F.col("polarity") != F.col("p2"), 0.9).when(F.col("value") != F.col("f.value"), 0.7).otherwise(0.0)
-    scored = met.select(F.least("memory_id", "f.memory_id").alias("a"), F.greatest("memory_id", "f.memory_id").alias("b"), "key", opposite.alias("score")).where(F.col("score") >= least)
+    """Contradictions between claims (memory_id, realm, key, polarity, value): all pairs of a (realm, key)."""
+    opposite = F.when(F.col("polarity_a") != F.col("polarity_b"), 0.9).when(F.col("value_a") != F.col("value_b"), 0.7).otherwise(0.0)
+    met = _met(claims, ["realm", "key"], ["polarity", "value"])
+    scored = met.select("a", "b", "key", opposite.alias("score")).where(F.col("score") >= least)
     return scored.groupBy("a", "b").agg(F.max("score").alias("score"), F.max_by("key", F.struct("score", "key")).alias("key"))
 
 
