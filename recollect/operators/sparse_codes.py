@@ -96,20 +96,35 @@ def posting_search(codes: DataFrame, query: list[tuple[int, float]], k: int, sta
 class Prototypes:
     """Adaptive resonance over codes in order of arrival: join the best prototype or found a new one.
 
-    Order matters, so the fold runs over a bounded, documented number of codes
-    (``fit``); all others are assigned in parallel to the fixed result.
+    Order matters, so the fold is one task's work (``resonance``); its state
+    ends at ``most`` prototypes.
     """
 
     def __init__(self, vigilance: float = VIGILANCE, most: int = MAX_PROTOTYPES):
-        self.vigilance, self.most, self.centres, self.counts, self.flow = vigilance, most, np.zeros((0, ATOMS * ATOMS)), [], {}
+        self.vigilance, self.most, self.counts, self.flow = vigilance, most, [], {}
+        self.columns = np.zeros((ATOMS * ATOMS, 64))  # a centre per column, with room to grow
+
+    @property
+    def centres(self) -> np.ndarray:
+        return self.columns[:, : len(self.counts)].T
+
+    def add(self, on, values, count: int = 1) -> int:
+        at = len(self.counts)
+        if at == self.columns.shape[1]:
+            self.columns = np.concatenate([self.columns, np.zeros_like(self.columns)], axis=1)
+        self.columns[on, at] = values
+        self.counts.append(count)
+        return at
 
     def best(self, code: np.ndarray) -> tuple[int, float]:
-        s = self.centres @ code
+        on = np.nonzero(code)[0]
+        s = code[on] @ self.columns[on, : len(self.counts)]
         at = int(s.argmax())
         return at, float(s[at])
 
-    def fit(self, codes: list[tuple[list[int], list[float]]]) -> list[int]:
-        out, before = [], None
+    def fit(self, codes: list[tuple[list[int], list[float]]], before: int | None = None) -> list[int]:
+        """Prototypes of the codes; ``before``: that of the code before the first."""
+        out = []
         for ids, act in codes:
             code = np.zeros(ATOMS * ATOMS)
             code[ids] = act
@@ -118,9 +133,8 @@ class Prototypes:
                 self.counts[at] += 1
                 self.centres[at] += (code - self.centres[at]) / self.counts[at]
             else:
-                at = len(self.counts)
-                self.centres = np.vstack([self.centres, code / max(code.sum(), 1e-9)])
-                self.counts.append(1)
+                on = np.nonzero(code)[0]
+                at = self.add(on, code[on] / max(code.sum(), 1e-9))
             if before is not None and before != at:
                 self.flow[before, at] = min(1.0, self.flow.get((before, at), 0.0) + 0.02)
             out.append(at)
@@ -144,6 +158,58 @@ class Prototypes:
         return code
 
 
+def resonance(codes: DataFrame, vigilance: float = VIGILANCE, most: int = MAX_PROTOTYPES) -> DataFrame:
+    """D33 over all codes by memory_id: (memory_id, prototype), then the state as rows without memory_id.
+
+    A state row has the prototype with its count, its centre (features, values)
+    and its transitions (nexts, flows). The fold is sequential by definition:
+    one task reads the codes in order.
+    """
+
+    def run(batches):
+        p, before = Prototypes(vigilance, most), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = p.fit(list(zip(batch.column("features").to_pylist(), batch.column("activations").to_pylist(), strict=True)), before)
+            before = at[-1]
+            none = pa.nulls(len(at))
+            yield pa.RecordBatch.from_arrays([batch.column("memory_id"), pa.array(at, pa.int32()), *[none.cast(t) for _, t in state]], names=["memory_id", "prototype", *[n for n, _ in state]])
+        flows: dict[int, list] = {}
+        for (a, b), w in p.flow.items():
+            flows.setdefault(a, []).append((b, w))
+        for i, n in enumerate(p.counts):
+            on, to = np.nonzero(p.centres[i])[0], flows.get(i, [])
+            row = [n, on.tolist(), p.centres[i][on].tolist(), [b for b, _ in to], [w for _, w in to]]
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([i], pa.int32()), *[pa.array([v], t) for v, (_, t) in zip(row, state, strict=True)]], names=["memory_id", "prototype", *[n for n, _ in state]])
+
+    state = [("count", pa.int64()), ("features", pa.list_(pa.int32())), ("values", pa.list_(pa.float64())), ("nexts", pa.list_(pa.int32())), ("flows", pa.list_(pa.float64()))]
+    ordered = codes.select("memory_id", "features", "activations").where(F.col("memory_id").isNotNull()).repartition(1).sortWithinPartitions("memory_id")
+    return ordered.mapInArrow(run, "memory_id long, prototype int, count long, features array<int>, values array<double>, nexts array<int>, flows array<double>")
+
+
+def restored(state: DataFrame, vigilance: float = VIGILANCE, most: int = MAX_PROTOTYPES) -> Prototypes:
+    """The prototypes after ``resonance``, from its state rows (``most`` at most)."""
+    p = Prototypes(vigilance, most)
+    rows = state.where(F.col("memory_id").isNull()).orderBy("prototype").collect()
+    for i, r in enumerate(rows):
+        p.add(r["features"], r["values"], r["count"])
+        p.flow |= {(i, b): w for b, w in zip(r["nexts"], r["flows"], strict=True)}
+    return p
+
+
+def rebuilding_error(rows: DataFrame, left: np.ndarray, right: np.ndarray) -> DataFrame:
+    """(error): one row, the summed squared error of rebuilding all vectors."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array(batch.column("embedding").to_pylist(), dtype=np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([float(((x - decode(*encode(x, left, right), left, right)) ** 2).sum())])], names=["error"])
+
+    return rows.select("embedding").mapInArrow(run, "error double").agg(F.sum("error").alias("error"))
+
+
 def ranked_transitions(assigned: DataFrame, n: int) -> DataFrame:
     """D35 over all rows: transition counts between prototypes of consecutive memories, top n each."""
     step = assigned.join(assigned.select((F.col("memory_id") - 1).alias("memory_id"), F.col("prototype").alias("next")), "memory_id").where("prototype <> next")

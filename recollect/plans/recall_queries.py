@@ -16,6 +16,7 @@ from recollect.operators import sparse_codes as P
 from recollect.operators import vectors as V
 from recollect.plans.memory_queries import QUERY, _TERMS
 from recollect.sources.logical import DAY, NOW, T0, duck, view
+from recollect.storage import materialize
 
 DIM = 64
 CTX = S.Context(NOW, valence=-0.6, arousal=0.7)
@@ -131,13 +132,11 @@ def d_sparse_search(s, d):
 
 
 def _prototypes(s, d):
-    sample = P.encoded(_vec(s, d), DIM).orderBy("memory_id").limit(500).collect()  # the fit's bound
-    p = P.Prototypes(vigilance=0.008)
-    return sample, p, p.fit([(r["features"], r["activations"]) for r in sample])
+    return materialize(P.resonance(P.encoded(_vec(s, d), DIM), vigilance=0.008), "prototypes")
 
 
 def d_attractor_search(s, d):
-    _, p, _ = _prototypes(s, d)
+    p = P.restored(_prototypes(s, d), vigilance=0.008)
     f, a = _sparse_query(s, d)
     code = np.zeros(P.ATOMS * P.ATOMS)
     code[f] = a
@@ -147,8 +146,7 @@ def d_attractor_search(s, d):
 
 
 def d_prototypes(s, d):
-    sample, _, at = _prototypes(s, d)
-    return s.createDataFrame([(r["memory_id"], int(x)) for r, x in zip(sample, at, strict=True)], "memory_id long, prototype int")
+    return _prototypes(s, d).where("memory_id IS NOT NULL").select("memory_id", "prototype")
 
 
 def d_prototype_transitions(s, d):
@@ -158,9 +156,8 @@ def d_prototype_transitions(s, d):
 def d_trained_dictionary(s, d):
     x = np.array([r["embedding"] for r in _vec(s, d).orderBy("memory_id").limit(200).collect()], dtype=np.float64)
     left, right = P.dictionary(DIM)
-    before = ((x - P.decode(*P.encode(x, left, right), left, right)) ** 2).sum()
-    left, right = P.train(x, left, right)
-    return s.createDataFrame([(float(before), float(((x - P.decode(*P.encode(x, left, right), left, right)) ** 2).sum()))], "before double, after double")
+    before = P.rebuilding_error(_vec(s, d), left, right).select(F.col("error").alias("before"))
+    return before.crossJoin(P.rebuilding_error(_vec(s, d), *P.train(x, left, right)).select(F.col("error").alias("after")))  # one row each
 
 
 def d_quantised(s, d):

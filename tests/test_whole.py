@@ -5,6 +5,7 @@ import pytest
 
 from recollect.operators import graph as G
 from recollect.operators import recall as R
+from recollect.operators import sparse_codes as P
 from recollect.plans import recall_queries
 
 
@@ -54,3 +55,21 @@ def test_prefix_conflicts_are_all_pairs(spark):
     rows = [(1, "r", "one two three a"), (2, "r", "one two three b"), (3, "r", "One two  three c"), (4, "r", "one two three a")]
     out = G.prefix_conflicts(spark.createDataFrame(rows, "memory_id long, realm string, content string"), words=3)
     assert [(r["a"], r["b"]) for r in out.collect()] == [(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)]
+
+
+def test_prototypes_and_errors_are_of_all_rows(spark, monkeypatch):
+    x = np.random.default_rng(2).standard_normal((620, 64))
+    x[520:] += 4.0
+    vectors = spark.createDataFrame([(i, "r", v.tolist()) for i, v in enumerate(x)], "memory_id long, realm string, embedding array<double>")
+    monkeypatch.setattr(recall_queries, "_vec", lambda s, d: vectors)
+    left, right = P.dictionary(64)
+    ids, act = P.encode(x, left, right)
+    p = P.Prototypes(0.008)
+    want = p.fit([(list(map(int, i)), list(a)) for i, a in zip(ids, act, strict=True)])
+    found = recall_queries._prototypes(spark, "")
+    assert [r["prototype"] for r in found.where("memory_id IS NOT NULL").orderBy("memory_id").collect()] == want
+    assert [r["prototype"] for r in recall_queries.d_prototypes(spark, "").orderBy("memory_id").collect()] == want
+    q = P.restored(found, 0.008)
+    assert np.allclose(q.centres, p.centres) and q.flow == p.flow and q.counts == p.counts
+    row = recall_queries.d_trained_dictionary(spark, "").first()
+    assert row["before"] == pytest.approx(((x - P.decode(ids, act, left, right)) ** 2).sum())
