@@ -120,7 +120,7 @@ def g_densified(s, d):
 
 
 def _sets(s, d):
-    return view(s, d, "tape").where("turn % 3 <> 0").select(F.floor(F.col("turn") / 6).alias("set_id"), F.col("session_id").alias("member"), F.col("tool").alias("context"), F.col("turn").alias("pos"))
+    return view(s, d, "tape").select(F.floor(F.col("turn") / 6).alias("set_id"), F.col("session_id").alias("member"), F.col("tool").alias("context"), F.col("turn").alias("pos"))
 
 
 def g_coactivation(s, d):
@@ -132,12 +132,12 @@ def g_strongest_pairs(s, d):
 
 
 def g_couplings(s, d):
-    return G.couplings(_sets(s, d).where("member % 3 = 0")).select("src", "dst", R6("weight"))
+    return G.couplings(_sets(s, d)).select("src", "dst", R6("weight"))
 
 
 def g_settle(s, d):
     seeds = s.createDataFrame([(3, 1.0), (6, 1.0)], "node long, level double")
-    return G.settle(G.couplings(_sets(s, d).where("member % 3 = 0")), seeds, 3).select("node", R6("level"))
+    return G.settle(G.couplings(_sets(s, d)), seeds, 3).select("node", R6("level"))
 
 
 def g_illegal_edges(s, d):

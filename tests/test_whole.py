@@ -6,7 +6,7 @@ import pytest
 from recollect.operators import graph as G
 from recollect.operators import recall as R
 from recollect.operators import sparse_codes as P
-from recollect.plans import recall_queries
+from recollect.plans import graph_queries, recall_queries
 
 
 @pytest.mark.parametrize("block", [2048, 7])
@@ -73,3 +73,18 @@ def test_prototypes_and_errors_are_of_all_rows(spark, monkeypatch):
     assert np.allclose(q.centres, p.centres) and q.flow == p.flow and q.counts == p.counts
     row = recall_queries.d_trained_dictionary(spark, "").first()
     assert row["before"] == pytest.approx(((x - P.decode(ids, act, left, right)) ** 2).sum())
+
+
+def test_pairs_of_sets_are_of_the_whole_tape(spark, monkeypatch):
+    tape = [(t, t * 7 % 5, "view" if t % 2 else "click") for t in range(20)]
+    monkeypatch.setattr(graph_queries, "view", lambda s, d, name: spark.createDataFrame(tape, "turn long, session_id long, tool string"))
+    counts, weights = {}, {}
+    for t, m, _ in tape:
+        for u, o, _ in tape:
+            if t // 6 == u // 6 and m < o:
+                counts[m, o] = counts.get((m, o), 0) + 1
+            if t // 6 == u // 6 and t < u:
+                weights[m, o] = weights.get((m, o), 0.0) + 0.02
+                weights[o, m] = weights.get((o, m), 0.0) + 0.006
+    assert {(r["a"], r["b"]): r["n"] for r in graph_queries.g_coactivation(spark, "").collect()} == counts
+    assert {(r["src"], r["dst"]): r["weight"] for r in graph_queries.g_couplings(spark, "").collect()} == {k: round(min(v, 1.0), 6) for k, v in weights.items()}
