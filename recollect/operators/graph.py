@@ -346,14 +346,23 @@ def expanded(edges: DataFrame, seeds: list[int], hops: int, usable: DataFrame, f
 
 
 def ppr_lane(edges: DataFrame, seeds: list[int], weights: list[float], rounds: int = 25, alpha: float = 0.15, degree: int = 64, most: int = 4000, hops: int = 4, tolerance: float = 1e-4) -> DataFrame:
-    """Personalised PageRank on the neighbourhood of the seeds: four hops, 64 heaviest edges a node, until the change is small."""
+    """Personalised PageRank on the neighbourhood of the seeds: four hops, 64 heaviest edges a node, until the change is small.
+
+    The neighbourhood ends at ``most`` nodes: seeds always, then by hop, then by the heaviest edge that leads there.
+    """
     spark = edges.sparkSession
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.col("weight").desc(), "dst"))
     flat = edges.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
     capped = flat.withColumn("_r", rank).where(F.col("_r") <= degree).drop("_r")
     nodes = spark.createDataFrame([(s,) for s in seeds], "src long")
+    nodes = layer = nodes.distinct()
+    room = most - len(set(seeds))
     for _ in range(hops):
-        nodes = materialize(capped.join(nodes, "src").select(F.col("dst").alias("src")).unionByName(nodes).distinct().orderBy("src").limit(most), "ppr-nodes")
+        if room <= 0:
+            break
+        reach = capped.join(layer, "src").groupBy("dst").agg(F.max("weight").alias("weight")).withColumnRenamed("dst", "src").join(nodes, "src", "left_anti")
+        layer = materialize(reach.orderBy(F.col("weight").desc(), "src").limit(room).select("src"), "ppr-nodes")
+        nodes, room = nodes.unionByName(layer), room - layer.count()
     local = capped.join(nodes, "src", "left_semi").join(nodes.withColumnRenamed("src", "dst"), "dst", "left_semi")
     total = local.groupBy("src").agg(F.sum("weight").alias("_t")).where(F.col("_t") > 0)
     share = materialize(local.join(total, "src").select("src", "dst", (F.col("weight") / F.col("_t")).alias("share")), "ppr-edges")

@@ -182,7 +182,7 @@ def e_expanded(s, d):
 
 
 def e_ppr(s, d):
-    return G.ppr_lane(_edge(s, d), [1, 5, 30], [0.5, 0.3, 0.2], rounds=6).select("memory_id", R6("score"))
+    return G.ppr_lane(_edge(s, d), [1, 5, 30], [0.5, 0.3, 0.2]).select("memory_id", R6("score"))
 
 
 def h_packed(s, d):

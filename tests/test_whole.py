@@ -88,3 +88,21 @@ def test_pairs_of_sets_are_of_the_whole_tape(spark, monkeypatch):
                 weights[o, m] = weights.get((o, m), 0.0) + 0.006
     assert {(r["a"], r["b"]): r["n"] for r in graph_queries.g_coactivation(spark, "").collect()} == counts
     assert {(r["src"], r["dst"]): r["weight"] for r in graph_queries.g_couplings(spark, "").collect()} == {k: round(min(v, 1.0), 6) for k, v in weights.items()}
+
+
+def test_ppr_keeps_seeds_and_the_nearest_and_converges(spark, monkeypatch):
+    edges = [(90, 80, 0.9), (90, 70, 0.8), (90, 60, 0.1), (80, 1, 1.0), (1, 2, 1.0), (70, 90, 0.5), (80, 90, 0.5)]
+    df = spark.createDataFrame([(a, b, "SameSession", w) for a, b, w in edges], "src long, dst long, type string, weight double")
+    assert {r["memory_id"] for r in G.ppr_lane(df, [90], [1.0], most=3).collect()} == {80, 70}
+    assert {r["memory_id"] for r in G.ppr_lane(df, [90], [1.0], most=5).collect()} == {80, 70, 60, 1}
+    ring = [(1, 5, 1.0), (5, 30, 1.0), (30, 40, 1.0), (40, 1, 1.0), (40, 5, 0.5)]
+    monkeypatch.setattr(graph_queries, "_edge", lambda s, d: spark.createDataFrame([(a, b, "SameSession", w) for a, b, w in ring], "src long, dst long, type string, weight double"))
+    p = start = {1: 0.5, 5: 0.3, 30: 0.2, 40: 0.0}
+    for _ in range(25):
+        new = {n: 0.15 * start[n] for n in start}
+        for a, b, w in ring:
+            new[b] += 0.85 * p[a] * w / sum(x for c, _, x in ring if c == a)
+        moved, p = sum(abs(new[n] - p[n]) for n in p), new
+        if moved < 1e-4:
+            break
+    assert {r["memory_id"]: r["score"] for r in graph_queries.e_ppr(spark, "").collect()} == {40: pytest.approx(p[40], abs=1e-6)}
