@@ -184,7 +184,7 @@ def c_first_person(s, d):
 
 
 def c_seeds(s, d):
-    return _note(s, d).select("memory_id", F.explode(L.seeds(F.substring("content", 1, 200))).alias("seed"))
+    return _note(s, d).select("memory_id", F.explode(L.seeds(F.col("content"))).alias("seed"))
 
 
 def c_claims(s, d):

@@ -6,7 +6,7 @@ import pytest
 from recollect.operators import graph as G
 from recollect.operators import recall as R
 from recollect.operators import sparse_codes as P
-from recollect.plans import graph_queries, recall_queries
+from recollect.plans import graph_queries, memory_queries, recall_queries
 
 
 @pytest.mark.parametrize("block", [2048, 7])
@@ -106,3 +106,9 @@ def test_ppr_keeps_seeds_and_the_nearest_and_converges(spark, monkeypatch):
         if moved < 1e-4:
             break
     assert {r["memory_id"]: r["score"] for r in graph_queries.e_ppr(spark, "").collect()} == {40: pytest.approx(p[40], abs=1e-6)}
+
+
+def test_seeds_are_of_the_whole_text(spark, monkeypatch):
+    text = "plain words " * 30 + 'then @late and "a quotation" by Name'
+    monkeypatch.setattr(memory_queries, "_note", lambda s, d: spark.createDataFrame([(1, text)], "memory_id long, content string"))
+    assert {r["seed"] for r in memory_queries.c_seeds(spark, "").collect()} == {"late", "a quotation", "Name"}
