@@ -46,6 +46,25 @@ def with_block(df: DataFrame, keys: list[str], order: str, hot_rows: int = HOT_R
     return df.join(F.broadcast(bounds), keys, "left").withColumn(name, block_of(F.col(order), F.col("_bounds"))).drop("_bounds")
 
 
+def order_bounds(df: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS, splits: int = SPLITS) -> DataFrame | None:
+    """Range bounds of the whole ``order`` for each key with more than ``hot_rows`` rows; None if there is no such key.
+
+    As :func:`hot_bounds`, but bounds are structs of all order columns, so rows
+    that tie on the first are parted by the next. They come from a hash sample of
+    about 64 rows a range, of hot keys only: a bounded list per key.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    hot = counts.collect()  # at most rows / hot_rows of them
+    if not hot:
+        return None
+    hot = df.sparkSession.createDataFrame(hot, counts.schema)
+    part = F.pmod(F.xxhash64(*keys, *order), F.lit(1_000_000)) < F.ceil(F.lit(64_000_000.0 * splits) / F.col("_n"))
+    sample = df.select(*keys, *order).join(F.broadcast(hot), keys).where(part).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("_s"))
+    at = lambda i: F.get("_s", F.floor(F.size("_s") * F.lit(i / splits)).cast("int"))
+    bounds = sample.select(*keys, F.array_distinct(F.array(*[at(i) for i in range(1, splits)])).alias("_bounds"))
+    return materialize(bounds, "hot-bounds")
+
+
 def ordered(
     df: DataFrame,
     keys: list[str],
@@ -59,15 +78,15 @@ def ordered(
 ) -> DataFrame:
     """Previous and next values, running maxima and row numbers within keys, whatever a key's size.
 
-    ``lag`` and ``lead`` map new names to columns; ``order`` begins with a numeric
-    column and is unique within a key. Keys above ``hot_rows`` are cut into value
-    ranges; first row, last row, maximum and count of each range are carried on
-    by a window over one row per range.
+    ``lag`` and ``lead`` map new names to columns; ``order`` is unique within a
+    key. Keys above ``hot_rows`` are cut into ranges of the whole order, ties of its
+    first column included; first row, last row, maximum and count of each range are
+    carried on by a window over one row per range.
     """
     lag, lead, running_max = lag or {}, lead or {}, running_max or {}
-    bounds = hot_bounds(df, keys, order[0], hot_rows, splits)
+    bounds = order_bounds(df, keys, order, hot_rows, splits)
     if bounds is not None:
-        df = df.join(F.broadcast(bounds), keys, "left").withColumn("_blk", block_of(F.col(order[0]), F.col("_bounds"))).drop("_bounds")
+        df = df.join(F.broadcast(bounds), keys, "left").withColumn("_blk", block_of(F.struct(*order), F.col("_bounds"))).drop("_bounds")
     df = df.withColumns({f"_rm_{n}": c for n, c in running_max.items()})
     within = keys if bounds is None else [*keys, "_blk"]
     w = Window.partitionBy(*within).orderBy(*order)
