@@ -3,12 +3,16 @@
 All decisions are taken on histograms of lengths, whose size depends on the
 capacity and never on the number of items:
 
-1. Lengths fall into ``CLASSES`` classes; patterns of up to ``PARTS`` items whose
-   classes add up to the capacity are enumerated, and non-negative least squares
-   fits how often each is used. Rounded down to what is there, this places the
-   long items.
-2. The rest goes, longest first, into the fullest container it fits, or a new
-   one, on exact lengths: what classes left over in step 1 is used as well.
+1. The capacity is cut into ``CLASSES`` classes of equal width (for any capacity;
+   widths need not be whole numbers), and a length counts as the upper end of its
+   class. Patterns of up to ``PARTS`` different classes, each used once or several
+   times, that add up to the capacity are enumerated, and non-negative least
+   squares fits how often each is used. Rounded down to what is there, this
+   places most items.
+2. Rounding lengths up leaves a little room in every container. The shortest
+   items, as many as it takes to fill that room, are therefore kept out of step 1.
+   They and what the fit left over go, longest first, into the fullest container
+   they fit, or a new one, on exact lengths.
 
 Items and containers of one length or free space are alike, so a plan row names
 ranges of them by number. Numbers come from windows over (length, salt) plus a
@@ -23,7 +27,7 @@ go by id.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from bisect import bisect_left, insort
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -33,8 +37,8 @@ from recollect.storage import materialize
 
 CLASSES, PARTS = 128, 3
 SALTS = 64
-#: Weight of short classes in the fit: what remains of them is easy to place.
-SHORT, SHORT_WEIGHT = 16, 0.1
+#: How many times the room left by rounding the items kept for it should amount to.
+RESERVE = 2.0
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
@@ -66,77 +70,127 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
     return x
 
 
-def patterns(classes: int, parts: int, present: np.ndarray) -> list[tuple[int, ...]]:
-    """Non-increasing tuples of up to ``parts`` present classes (1-based) that add up to ``classes``."""
-    out: list[tuple[int, ...]] = []
+def patterns(classes: int, parts: int, present: np.ndarray) -> list[tuple[tuple[int, int], ...]]:
+    """((class, times), ...) of up to ``parts`` different present classes that add up to ``classes``, greater classes first.
 
-    def grow(head: tuple[int, ...], rest: int, most: int) -> None:
-        if rest == 0:
-            out.append(head)
-            return
-        if len(head) == parts:
-            return
-        left = parts - len(head)
-        for c in range(min(rest, most), -(-rest // left) - 1, -1):
-            if present[c] and c > 0:
-                grow((*head, c), rest - c, c)
-
-    grow((), classes, classes)
+    A class of a pattern of three or more fills at least a third of what the
+    greater ones leave, or else patterns would be as many as partitions.
+    """
+    out: list[tuple[tuple[int, int], ...]] = []
+    known = [c for c in range(len(present) - 1, 0, -1) if present[c]]
+
+    def grow(head: tuple[tuple[int, int], ...], rest: int, at: int) -> None:
+        last = len(head) == parts - 1
+        for i in range(at, len(known)):
+            c = known[i]
+            if c > rest or (last and rest % c):
+                continue
+            for times in [rest // c] if last else range(rest // c, 0, -1):
+                left = rest - c * times
+                if left == 0:
+                    out.append((*head, (c, times)))
+                elif parts < 3 or not head or 3 * c * times >= rest:
+                    grow((*head, (c, times)), left, i + 1)
+
+    if parts > 0:
+        grow((), classes, 0)
     return out
 
 
-def plan_patterns(histogram: np.ndarray, parts: int = PARTS) -> list[tuple[tuple[int, ...], int]]:
+def kept_short(count: np.ndarray, total: np.ndarray, capacity: int) -> np.ndarray:
+    """Which classes stay out of the patterns: the shortest, until they can fill the room that rounding leaves in the others."""
+    classes = len(count) - 1
+    top = np.arange(classes + 1) * capacity / classes
+    room = np.maximum(count * top - total, 0.0)
+    kept = np.zeros(classes + 1, dtype=bool)
+    for c in range(1, classes + 1):
+        if total[kept].sum() >= RESERVE * room[~kept].sum():
+            break
+        kept[c] = True
+    return kept
+
+
+def plan_patterns(histogram: np.ndarray, parts: int = PARTS) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """(pattern, number of containers); no class is used more often than it occurs."""
     classes = len(histogram) - 1
     found = patterns(classes, parts, histogram > 0)
     if not found:
         return []
-    weight = np.where(np.arange(1, classes + 1) < SHORT, SHORT_WEIGHT, 1.0)
-    a = np.zeros((classes, len(found)))
+    need = np.zeros((classes + 1, len(found)))
     for j, p in enumerate(found):
-        for c in p:
-            a[c - 1, j] += 1
+        for c, times in p:
+            need[c, j] = times
+    # long items weigh more: what remains of the short ones is easy to place
+    weight = (np.arange(1, classes + 1) / classes) ** 2
     scale = max(1.0, float(histogram.max()))
-    x = nnls(a * weight[:, None], histogram[1:] / scale * weight) * scale
+    x = nnls(need[1:] * weight[:, None], histogram[1:] / scale * weight) * scale
     left, plan = histogram.astype(np.int64).copy(), []
-    for j in np.argsort(-x, kind="stable"):
-        if x[j] < 0.5:
-            break
-        need = np.bincount(found[j], minlength=classes + 1)
-        most = int((left[need > 0] // need[need > 0]).min())
-        n = min(int(np.rint(x[j])), most)
-        if n:
-            left -= n * need
-            plan.append((found[j], n))
-    return plan
+    for fraction in (False, True):  # whole repeats first, then one more where items are left
+        for j in np.argsort(-x, kind="stable"):
+            use = need[:, j] > 0
+            most = int((left[use] // need[use, j]).min())
+            n = min(int(x[j]) if not fraction else int(x[j] % 1 >= 0.5), most)
+            if n:
+                left -= n * need[:, j].astype(np.int64)
+                plan.append((found[j], n))
+    return _give_back(plan, left, classes)
+
+
+def _give_back(plan: list, left: np.ndarray, classes: int) -> list:
+    """Take back containers of short items only, until they can fill the room next to long items that found no pattern.
+
+    Each item left over that exceeds half a container opens one of its own.
+    """
+    half = classes // 2 + 1
+    room = float((left[half:] * (classes - np.arange(half, classes + 1))).sum()) - float((left[:half] * np.arange(half)).sum())
+    out = []
+    for pattern, n in sorted(plan, key=lambda p: p[0][0][0]):
+        back = min(n, max(0, int(-(-room // classes)))) if pattern[0][0] < half else 0
+        room -= back * classes
+        if n > back:
+            out.append((pattern, n - back))
+    return out
 
 
 def plan_rest(items: dict[int, int], free: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Best fit on counts: rows (length, first item, number, free space of old containers or -1, first container).
 
     ``items`` and ``free`` map length and free space to counts; also returns the
-    number of new containers. Ranges of alike containers move together.
+    number of new containers. Ranges of alike containers move together, and the
+    free spaces in use are kept sorted, so a step costs a binary search.
     """
-    room: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # free now -> (kind, first, number)
+    room: dict[int, list[tuple[int, int, int]]] = {}  # free now -> (kind, first, number)
+    spaces: list[int] = []
+
+    def add(space: int, part: tuple[int, int, int]) -> None:
+        if space not in room:
+            room[space] = []
+            insort(spaces, space)
+        room[space].append(part)
+
     for f, n in sorted(free.items()):
         if f > 0 and n:
-            room[f].append((f, 0, n))
+            add(f, (f, 0, n))
     rows, fresh = [], 0
     for length in sorted(items, reverse=True):
         at, end = 0, items[length]
         while at < end:
-            fits = next((f for f in range(length, capacity + 1) if room.get(f)), None)
-            if fits is None:
+            place = bisect_left(spaces, length)
+            if place == len(spaces):
                 opened = -(-(end - at) // (capacity // length))
-                room[capacity].append((-1, fresh, opened))
-                fresh, fits = fresh + opened, capacity
+                add(capacity, (-1, fresh, opened))
+                fresh += opened
+            fits = spaces[place]
             kind, first, n = room[fits].pop()
             use = min(n, end - at)
             rows.append((length, at, use, kind, first))
             if use < n:
                 room[fits].append((kind, first + use, n - use))
+            elif not room[fits]:
+                del room[fits]
+                del spaces[place]
             if fits > length:
-                room[fits - length].append((kind, first, use))
+                add(fits - length, (kind, first, use))
             at += use
     return rows, fresh
 
@@ -152,23 +206,25 @@ def _numbered(rows: DataFrame, key: str, *ids: str) -> DataFrame:
 
 
 def pack(lengths: DataFrame, capacity: int, item: str = "doc_id", length: str = "n_tokens", classes: int = CLASSES, parts: int = PARTS) -> DataFrame:
-    """(item, part, n_tokens, container_id, start) of every piece; pieces of a container follow one another."""
-    spark = lengths.sparkSession
+    """(item, part, n_tokens, container_id, start, by_pattern) of every piece; pieces of a container follow one another."""
+    spark, classes = lengths.sparkSession, min(classes, capacity)
     size = F.col(length).cast("long")
     whole = lengths.where(F.col(item).isNotNull() & (size > 0)).select(F.col(item).alias("id"), size.alias("n"))
     cut = F.expr(f"sequence(0L, (n - 1) div {capacity})")
     items = whole.select("id", F.explode(cut).alias("part"), "n").select("id", "part", F.least(F.lit(capacity), F.col("n") - F.col("part") * capacity).cast("int").alias("length"))
-    width = -(-capacity // classes)
-    items = materialize(items.withColumn("class", F.ceil(F.col("length") / width).cast("int")), "items")
+    class_ = F.expr(f"CAST((length * {classes}L + {capacity - 1}L) div {capacity} AS INT)")
+    items = materialize(items.withColumn("class", class_), "items")
 
-    histogram = np.zeros(classes + 1)
-    for r in items.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect():  # one row a class
-        histogram[r["class"]] = r["n"]
+    count, total = np.zeros(classes + 1), np.zeros(classes + 1)
+    for r in items.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("s")).collect():  # one row a class
+        count[r["class"]], total[r["class"]] = r["n"], r["s"]
+    histogram = np.where(kept_short(count, total, capacity), 0, count)
     used, base, ranges = np.zeros(classes + 1, dtype=np.int64), 0, []
-    for pattern, n in plan_patterns(histogram, parts) if capacity == width * classes else []:
-        for c in pattern:
-            ranges.append((int(c), int(used[c]), int(used[c] + n), int(base)))
-            used[c] += n
+    for pattern, n in plan_patterns(histogram, parts):
+        for c, times in pattern:
+            for _ in range(times):
+                ranges.append((int(c), int(used[c]), int(used[c] + n), int(base)))
+                used[c] += n
         base += n
     plan = spark.createDataFrame(ranges, "class int, lo long, hi long, base long")
     number = F.col("number")
@@ -186,6 +242,7 @@ def pack(lengths: DataFrame, capacity: int, item: str = "doc_id", length: str =
     slots = _numbered(room, "free", "container").select(F.col("free").alias("kind"), F.col("number").alias("slot"), "container")
     old = moved.where(F.col("kind") >= 0).join(slots, ["kind", "slot"]).select("id", "part", "length", "container")
     new = moved.where(F.col("kind") < 0).select("id", "part", "length", (F.lit(base) + F.col("slot")).alias("container"))
-    every = placed.where(F.col("container").isNotNull()).unionByName(old).unionByName(new)
+    late = old.unionByName(new).withColumn("by_pattern", F.lit(False))
+    every = placed.where(F.col("container").isNotNull()).withColumn("by_pattern", F.lit(True)).unionByName(late)
     start = F.sum("length").over(Window.partitionBy("container").orderBy("id", "part").rowsBetween(Window.unboundedPreceding, -1))
-    return every.select(F.col("id").alias(item), "part", F.col("length").cast("long").alias(length), F.col("container").alias("container_id"), F.coalesce(start, F.lit(0)).cast("long").alias("start"))
+    return every.select(F.col("id").alias(item), "part", F.col("length").cast("long").alias(length), F.col("container").alias("container_id"), F.coalesce(start, F.lit(0)).cast("long").alias("start"), "by_pattern")

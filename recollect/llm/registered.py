@@ -11,7 +11,7 @@ from recollect.llm.packing import pack
 from recollect.llm.subjects import classify, fit
 from recollect.llm.tokenize import decode, encode
 from recollect.llm.vector_search import nearest
-from recollect.llm.weighting import log_entropy
+from recollect.llm.weighting import characteristic, log_entropy
 from recollect.operators.components import components
 from recollect.sources.tables import table
 
@@ -54,7 +54,7 @@ def p4_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _weights(spark, sf_dir).where("tf >= 3 AND df <= 5").select("memory_id", "term")
+    return characteristic(table(spark, sf_dir, "recall_hit", "memory_id", "content"), tf=3, df=5).select("memory_id", "term")
 
 
 def _near(spark: SparkSession, sf_dir: str) -> NearDuplicates:
@@ -83,15 +83,20 @@ def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(p8_ids(spark, sf_dir))
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(p8_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("n_tokens")), CAPACITY)
+
+
 def p9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Container and place of every piece of every text, in tokens of byte_bpe_50k."""
-    return pack(p8_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("n_tokens")), CAPACITY)
+    return _packed(spark, sf_dir).drop("by_pattern")
 
 
 def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers used, the least possible number, and the part filled."""
-    used = p9_pack(spark, sf_dir).agg(F.countDistinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"))
-    return used.select("containers", F.ceil(F.col("tokens") / CAPACITY).alias("least"), (F.col("tokens") / (F.col("containers") * CAPACITY)).alias("filled"))
+    """Containers used, the least possible number, the part filled, and the part of the pieces that patterns placed."""
+    placed = F.avg(F.col("by_pattern").cast("double")).alias("by_pattern")
+    used = _packed(spark, sf_dir).agg(F.countDistinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"), placed)
+    return used.select("containers", F.ceil(F.col("tokens") / CAPACITY).alias("least"), (F.col("tokens") / (F.col("containers") * CAPACITY)).alias("filled"), "by_pattern")
 
 
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,6 +122,8 @@ def encode(texts: DataFrame, key: str = "doc_id", text: str = "text", path: str
 
     ``frequent`` bounds the broadcast: a word is frequent if it makes up more
     than 1/frequent of all words. The join of the others is free of hot words.
+    Repeated rows share one list of rare words: a set, de-duplicated map-side,
+    so R copies of a row carry it once and not R times.
     """
     spark = texts.sparkSession
     rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -131,7 +133,7 @@ def encode(texts: DataFrame, key: str = "doc_id", text: str = "text", path: str
     mark = spark.createDataFrame([(r.word, True) for r in common], "word string, known boolean")
     identity = [F.xxhash64("key", "text").alias("h1"), F.hash(F.col("text"), F.col("key")).alias("h2")]
     rare = rows.select(*identity, F.posexplode(words(F.col("text"))).alias("pos", "word")).join(F.broadcast(mark), "word", "left_anti")
-    rare = rare.join(table.select("word", "word_ids"), "word").groupBy("h1", "h2").agg(F.collect_list(F.struct("pos", "word_ids")).alias("rest"))
+    rare = rare.join(table.select("word", "word_ids"), "word").groupBy("h1", "h2").agg(F.collect_set(F.struct("pos", "word_ids")).alias("rest"))
     none = F.array().cast("array<struct<pos:int,word_ids:array<int>>>")
     joined = rows.select("key", "text", *identity).join(rare, ["h1", "h2"], "left").select("key", words(F.col("text")).alias("words"), F.coalesce("rest", none).alias("rest"))
     kind = dict(texts.dtypes)[key]

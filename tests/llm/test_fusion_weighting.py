@@ -8,7 +8,7 @@ from conftest import SF
 
 from recollect.llm import registered as R
 from recollect.llm.fusion import best, fuse, positions
-from recollect.llm.weighting import log_entropy
+from recollect.llm.weighting import characteristic, least_weight, log_entropy
 
 
 @pytest.mark.parametrize("name", sorted(R.SQL))
@@ -70,6 +70,24 @@ def test_weights(spark):
     assert len(got) == sum(map(len, docs.values()))
 
 
+def test_the_weight_selects_and_loses_nothing(spark):
+    r = random.Random(4)
+    texts = [(i, " ".join(r.choice([f"t{r.randrange(60)}"] * 2 + ["all"]) for _ in range(r.randint(0, 90)))) for i in range(40)]
+    df = spark.createDataFrame(texts, "memory_id long, content string")
+    every = log_entropy(df).collect()
+    want = {(x["memory_id"], x["term"]) for x in every if x["tf"] >= 3 and x["df"] <= 20}
+    least = least_weight(3, 20, len({x["memory_id"] for x in every}))
+    assert {(x["memory_id"], x["term"]) for x in characteristic(df, 3, 20).collect()} == want and want
+    assert all(x["weight"] >= least - 1e-9 for x in every if (x["memory_id"], x["term"]) in want)
+    assert any(x["weight"] < least for x in every)
+
+
+def test_positions_split_ties(spark):
+    rows = spark.range(3000).selectExpr("CAST(1 AS BIGINT) AS q", "id AS m", "0.5D AS rrf")
+    got = positions(rows, "q", "m", hot_rows=100).collect()
+    assert all(x["position"] == x["m"] + 1 for x in got) and len(got) == 3000
+
+
 def test_empty(spark):
     assert log_entropy(spark.createDataFrame([], "memory_id long, content string")).count() == 0
     assert fuse(spark.createDataFrame([], "q long, m long, a double"), "q", "m", ["a"]).count() == 0

@@ -78,3 +78,18 @@ def test_large_classes_of_different_texts_are_whole(spark, run):
     rows += [(100 + i, " ".join(r.sample(words, 12)) + " more", "a", "") for i in range(66)] + [(300, " ".join(words + ["else"]), "a", "")]
     got = [tuple(p) for p in NearDuplicates(spark.createDataFrame(rows, COLUMNS), 0.6, run).pairs().collect()]
     assert len(got) == len(set(got)) == 137 * 136 // 2
+
+
+def test_hot_bands_are_refined_and_lose_nothing(spark):
+    """Far more rows in a band than runs: boilerplate texts of one realm, among them true duplicates."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(160):
+        kept = base[:]
+        for _ in range(r.randint(2, 14)):
+            kept[r.randrange(40)] = f"x{r.randrange(300)}"
+        rows.append((i, " ".join(kept), "a"))
+    near = NearDuplicates(spark.createDataFrame([(*x, "x") for x in rows], COLUMNS), 0.6, 2)
+    got, want = {tuple(x) for x in near.pairs().collect()}, brute(rows, 0.6)
+    assert got <= want and len(got) >= 0.995 * len(want) and len(want) > 500

@@ -1,11 +1,13 @@
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
 from conftest import SF
 
 from recollect.llm import registered as R
-from recollect.llm.packing import nnls, pack, patterns
+from recollect.llm.packing import CLASSES, kept_short, nnls, pack, patterns, plan_patterns, plan_rest
 from recollect.llm.tokenize import _tokenizer, decode, encode, vocabulary
 
 ODD = [
@@ -51,9 +53,47 @@ def test_nnls():
     assert (x >= 0).all() and (gain < 1e-6).all() and abs(gain[x > 1e-9]).max() < 1e-6
 
 
-def test_patterns_fill_exactly():
-    found = patterns(16, 3, np.ones(17, dtype=bool))
-    assert all(sum(p) == 16 and list(p) == sorted(p, reverse=True) for p in found) and len(found) == len(set(found)) == 1 + 8 + 21
+def test_repeated_rows_share_their_rare_words(spark):
+    text = " ".join(f"word{i}x{i * i}" for i in range(40))
+    rows = [(1, text, "")] * 3000 + [(2, text + " else", "")]
+    out = encode(texts(spark, rows), frequent=1)
+    t = _tokenizer(vocabulary())
+    want = {1: t.encode(text, add_special_tokens=False).ids, 2: t.encode(text + " else", add_special_tokens=False).ids}
+    got = out.groupBy("doc_id", "ids").count().collect()
+    assert {r["doc_id"]: list(r["ids"]) for r in got} == want and {r["doc_id"]: r["count"] for r in got} == {1: 3000, 2: 1}
+
+
+@pytest.mark.parametrize("classes,parts", [(16, 3), (37, 3), (16, 2), (1, 1)])
+def test_patterns_fill_exactly(classes, parts):
+    found = patterns(classes, parts, np.ones(classes + 1, dtype=bool))
+    assert all(sum(c * n for c, n in p) == classes and len(p) <= parts for p in found) and len(found) == len(set(found))
+    assert all([c for c, _ in p] == sorted({c for c, _ in p}, reverse=True) for p in found)
+    pairs = {((a, i), (b, j)) for a in range(1, classes) for b in range(1, a) for i in range(1, classes) for j in range(1, classes) if a * i + b * j == classes}
+    assert parts < 2 or pairs <= set(found)
+
+
+@pytest.mark.parametrize("capacity,share", [(1000, 0.5), (2000, 0.5), (2048, 0.5), (37, 0.5), (131_072, 0.0)])
+def test_plans_of_any_capacity(capacity, share):
+    """On lengths like those of texts: most items by patterns, near the least number of containers, soon done."""
+    r = np.random.default_rng(capacity)
+    sizes = np.minimum(np.maximum(r.lognormal(np.log(min(capacity, 2048) / 14), 0.9, 20_000).astype(int), 1), capacity)
+    classes, begun = min(CLASSES, capacity), time.monotonic()
+    cls = (sizes * classes + capacity - 1) // capacity
+    count, total = np.bincount(cls, minlength=classes + 1).astype(float), np.bincount(cls, sizes, minlength=classes + 1)
+    plan = plan_patterns(np.where(kept_short(count, total, capacity), 0, count))
+    stock = {c: sizes[cls == c].tolist() for c in range(classes + 1)}
+    free, placed = Counter(), 0
+    for pattern, n in plan:
+        for _ in range(n):
+            taken = [stock[c].pop() for c, times in pattern for _ in range(times)]
+            assert sum(taken) <= capacity
+            placed += len(taken)
+            free[capacity - sum(taken)] += 1
+    rest = Counter(x for left in stock.values() for x in left)
+    _, fresh = plan_rest(dict(rest), dict(free), capacity)
+    assert time.monotonic() - begun < 10
+    assert sum(n for _, n in plan) + fresh <= 1.01 * -(-sizes.sum() // capacity) + 1
+    assert placed >= share * len(sizes)
 
 
 def best_fit(sizes, capacity):
@@ -94,4 +134,5 @@ def test_one_hot_length(spark):
 
 def test_nothing_to_pack(spark):
     assert pack(spark.createDataFrame([(1, 0), (2, None)], "doc_id long, n_tokens int"), 64, classes=32).count() == 0
-    assert R.p9_fill(spark, SF).first()["filled"] > 0.9
+    fill = R.p9_fill(spark, SF).first()
+    assert fill["filled"] > 0.9 and fill["by_pattern"] > 0.5
