@@ -39,6 +39,8 @@ CLASSES, PARTS = 128, 3
 SALTS = 64
 #: How many times the room left by rounding the items kept for it should amount to.
 RESERVE = 2.0
+#: Smallest part of a repeat that is rounded up while its items last.
+LEAST_PART = 0.5
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
@@ -129,7 +131,7 @@ def plan_patterns(histogram: np.ndarray, parts: int = PARTS) -> list[tuple[tuple
         for j in np.argsort(-x, kind="stable"):
             use = need[:, j] > 0
             most = int((left[use] // need[use, j]).min())
-            n = min(int(x[j]) if not fraction else int(x[j] % 1 >= 0.5), most)
+            n = min(int(x[j]) if not fraction else int(x[j] % 1 >= LEAST_PART), most)
             if n:
                 left -= n * need[:, j].astype(np.int64)
                 plan.append((found[j], n))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recollect.llm.fusion import best, fuse, positions
 from recollect.llm.near_duplicates import NearDuplicates
 from recollect.llm.packing import pack
-from recollect.llm.subjects import classify, fit
+from recollect.llm.subjects import classify, fit, prepared
 from recollect.llm.tokenize import decode, encode
 from recollect.llm.vector_search import nearest
 from recollect.llm.weighting import characteristic, log_entropy
@@ -101,8 +101,8 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas of every document with the share of its words."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    return classify(docs, fit(docs, table(spark, sf_dir, "area_label", "doc_id", "area")))
+    docs = prepared(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "area_label", "doc_id", "area"))
+    return classify(docs, fit(docs))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
