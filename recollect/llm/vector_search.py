@@ -1,11 +1,23 @@
 """The k most similar vectors for every vector: a small-world graph per shard, results merged (problem 2).
 
-Vectors are brought to unit length and equal ones collapse to the least id. Cells
-come from k-means over a bounded sample (``SAMPLE_PER_CELL`` vectors a cell, at
-most ``MAX_CELLS`` cells); every vector is indexed in its nearest cell. A cell is
-one shard, or several where it holds more than twice ``SHARD`` vectors, and each
-shard gets a graph. A query walks the graphs of its ``probes`` nearest cells, and
-the best k of all shards are kept. Copies are put back after the search.
+Vectors are brought to unit length and equal ones collapse to the least id. They
+are parted into cells by k-means over a bounded sample (``SAMPLE_PER_CELL``
+vectors a cell, at most ``MAX_CELLS`` cells), each into its nearest. A cell of
+more than twice ``SHARD`` vectors is parted again in the same way, by centres
+trained on a sample of its own, until cells are small: two levels hold
+MAX_CELLS^2 x SHARD vectors. So the size of a cell stays, and their number grows
+with the collection.
+
+A query visits its own cell and the next nearest, ``probes`` in all; where a cell
+is parted again, its own members visit ``probes`` of the parts, and visitors half
+as many on the second level and one below. The number of visits never depends on
+the number of vectors.
+
+Each cell is a shard with a graph (:class:`recollect.operators.hnsw.Hnsw`), built
+by inserting its members in batches. A task holds one graph at a time; visitors
+stream past it batch by batch, and a shard that more than ``VISITS`` vectors visit
+is copied, each copy serving a part of them. The best k of all shards are kept,
+and copies of a vector are put back after the search.
 
 Defined results: usable vectors have the given number of finite values, not all
 zero; rows with other vectors or a null id are ignored; repeated rows count
@@ -20,12 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm.hnsw import Hnsw
+from recollect.operators.hnsw import Hnsw
 from recollect.storage import materialize
 
 SHARD = 4096
 MAX_CELLS = 4096
 SAMPLE_PER_CELL = 64
+#: Visitors of one copy of a shard.
+VISITS = 16 * SHARD
+#: Levels of cells; what is still too large below them (vectors k-means cannot part) is cut by id hash.
+DEPTH = 4
+ROUTED = "node long, member boolean, asks boolean, id long, vec binary"
 
 
 def _unit(dim: int):
@@ -90,96 +107,171 @@ def _nearest(x: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
     return np.take_along_axis(part, np.argsort(-np.take_along_axis(s, part, 1), axis=1, kind="stable"), 1)
 
 
-def _homes(centres: np.ndarray, dim: int):
+def _visits(centres: np.ndarray, dim: int, probes: int):
+    """Vectors -> (node, n, visits): how many a cell holds and how many visit it."""
+
     def run(batches):
         for batch in batches:
-            near = _nearest(_matrix(batch.column("vec"), dim), centres, 1)[:, 0]
-            cell, n = np.unique(near, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64))], names=["cell", "n"])
+            near = _nearest(_matrix(batch.column("vec"), dim), centres, probes)
+            asks = batch.column("asks").to_numpy(zero_copy_only=False)
+            n = np.bincount(near[:, 0], minlength=len(centres))
+            visits = np.bincount(near[asks, 1:].ravel(), minlength=len(centres))
+            cell = np.nonzero(n + visits)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n[cell]), pa.array(visits[cell])], names=["node", "n", "visits"])
 
     return run
 
 
-def _mix(ids: np.ndarray) -> np.ndarray:
-    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)
+def _sent(batch: pa.RecordBatch, near: np.ndarray, member: np.ndarray, first: int, most: np.ndarray) -> pa.RecordBatch:
+    """Rows for the cells of ``near``: a member goes to its nearest as one, and asks in the next ``most`` - 1; a visitor asks in ``most``."""
+    n = len(near)
+    asks = batch.column("asks").to_numpy(zero_copy_only=False)
+    rows, nodes, members = [], [], []
+    for p in range(near.shape[1]):
+        go = np.nonzero((asks & (p < most)) | (member if p == 0 else np.zeros(n, dtype=bool)))[0]
+        rows.append(go)
+        nodes.append(first + near[go, p])
+        members.append(member[go] & (p == 0))
+    take = pa.array(np.concatenate(rows))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate(nodes)), pa.array(np.concatenate(members)), batch.column("asks").take(take), batch.column("id").take(take), batch.column("vec").take(take)], names=["node", "member", "asks", "id", "vec"]
+    )
 
 
-def _route(centres: np.ndarray, pieces: np.ndarray, dim: int, probes: int):
-    """Send each vector to its home shard as a member, and to the shards it queries as a visitor."""
-    first = np.concatenate([[0], np.cumsum(pieces)[:-1]])
+def _route(centres: np.ndarray, dim: int, probes: int):
+    """Send each vector to its cell as a member, and to those it visits."""
 
     def run(batches):
         for batch in batches:
             n = batch.num_rows
-            if not n:
+            if n:
+                yield _sent(batch, _nearest(_matrix(batch.column("vec"), dim), centres, probes), np.ones(n, dtype=bool), 0, np.full(n, probes))
+
+    return run
+
+
+def _runs(values: np.ndarray):
+    """(start, end) of the runs of equal values."""
+    cut = np.nonzero(np.diff(values))[0] + 1
+    return zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(values)]]), strict=True)
+
+
+def _reroute(dim: int, probes: int, visits: int):
+    """Rows sorted by (node, kind), a node's centres first -> rows of its parts; node numbers grow by a factor of MAX_CELLS."""
+
+    def run(batches):
+        node, held, centres = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            ids = batch.column("id").to_numpy()
-            asks = batch.column("asks").to_numpy(zero_copy_only=False)
-            near = _nearest(_matrix(batch.column("vec"), dim), centres, probes)
-            home = near[:, 0]
-            own = first[home] + (_mix(ids) % pieces[home].astype(np.uint64)).astype(np.int64)
-            rows, shards, member = [np.arange(n)], [own], [np.ones(n, dtype=bool)]
-            asking = np.nonzero(asks)[0]
-            for p in range(near.shape[1]):
-                cell = near[asking, p]
-                r = np.repeat(asking, pieces[cell])
-                begin = np.cumsum(pieces[cell]) - pieces[cell]
-                s = np.repeat(first[cell] - begin, pieces[cell]) + np.arange(len(r))
-                other = s != own[r]
-                rows.append(r[other])
-                shards.append(s[other])
-                member.append(np.zeros(int(other.sum()), dtype=bool))
-            take = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(shards).astype(np.int32)), pa.array(np.concatenate(member)), batch.column("asks").take(take), batch.column("id").take(take), batch.column("vec").take(take)],
-                names=["shard", "member", "asks", "id", "vec"],
-            )
+            nodes, kinds = batch.column("node").to_numpy(), batch.column("kind").to_numpy()
+            for start, end in _runs(nodes * 2 + kinds):
+                part = batch.slice(start, end - start)
+                if nodes[start] != node:
+                    node, held, centres = nodes[start], [], None
+                if kinds[start] == 0:
+                    held.append(_matrix(part.column("vec"), dim))
+                    continue
+                if centres is None:
+                    centres = np.concatenate(held)
+                member = part.column("member").to_numpy(zero_copy_only=False)
+                yield _sent(part, _nearest(_matrix(part.column("vec"), dim), centres, probes), member, int(node) * MAX_CELLS, np.where(member, probes, visits))
+
+    return run
+
+
+def _trained(dim: int, shard: int):
+    def run(table: pa.Table) -> pa.Table:
+        n = table.column("n")[0].as_py()
+        x = _matrix(table.column("vec"), dim)
+        centres = train_cells(x[np.argsort(table.column("id").to_numpy())], min(MAX_CELLS, -(-n // shard)))
+        return pa.table({"node": pa.array(np.full(len(centres), table.column("node")[0].as_py())), "vec": _binary(centres)})
 
     return run
 
 
+def _split(rows: DataFrame, big: DataFrame, dim: int, probes: int, visits: int, shard: int) -> DataFrame:
+    """Part the cells in ``big`` (node, n, visits) again; rows of other cells keep their place.
+
+    Centres come from a sample of each cell's own members and meet the cell's
+    rows by a sort, not by a broadcast; a cell's rows are salted over tasks.
+    """
+    want = F.least(F.ceil(F.col("n") / shard), F.lit(MAX_CELLS)) * SAMPLE_PER_CELL
+    members = rows.where("member").join(big.select("node", "n"), "node")
+    sample = members.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_003)) < F.ceil(want * 1_000_003 / F.col("n"))).select("node", "id", "vec", "n")
+    centres = materialize(sample.groupBy("node").applyInArrow(_trained(dim, shard), "node long, vec binary"), "cell-centres")
+    salts = big.select("node", F.ceil((F.col("n") + F.col("visits")) / (4.0 * VISITS)).cast("int").alias("salts"))
+    none = F.lit(False)
+    head = centres.join(salts, "node").select("node", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), none.alias("member"), none.alias("asks"), F.lit(0).cast("long").alias("id"), "vec")
+    body = rows.join(salts, "node").select("node", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "member", "asks", "id", "vec")
+    met = head.unionByName(body).repartition("node", "salt").sortWithinPartitions("node", "salt", "kind")
+    parts = met.select("node", "kind", "member", "asks", "id", "vec").mapInArrow(_reroute(dim, probes, visits), ROUTED)
+    rest = rows.join(big.select("node"), "node", "left_anti").withColumn("node", F.col("node") * MAX_CELLS)
+    return materialize(rest.unionByName(parts), "cell-rows")
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    return materialize(rows.groupBy("node").agg(F.count_if("member").alias("n"), F.count_if(~F.col("member")).alias("visits")), "cell-sizes")
+
+
 def _search(dim: int, k: int, ef: int, least: float):
-    """A partition's batches -> (a, b, similarity), shard by shard; a shard is bounded by the routing."""
-
-    def one(group: pa.Table) -> pa.RecordBatch:
-        ids, member, asks = (group.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("id", "member", "asks"))
-        x = _matrix(group.column("vec"), dim)
-        inside = np.nonzero(member)[0]
-        inside = inside[np.argsort(ids[inside], kind="stable")]
-        out = []
-        if len(inside):
-            graph = Hnsw(x[inside])
-            own = np.nonzero(asks[inside])[0]
-            guests = np.nonzero(~member)[0]
-            for query, rows in ((ids[inside[own]], graph.search(x[inside[own]], k + 1, ef, own) if len(own) else None), (ids[guests], graph.search(x[guests], k, ef) if len(guests) else None)):
-                if rows is None:
-                    continue
-                found, sim = rows
-                r, c = np.nonzero((found >= 0) & (sim >= least))
-                a, b = query[r], ids[inside[found[r, c]]]
-                out.append((a[a != b], b[a != b], sim[r, c][a != b]))
-        a, b, s = (np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(3))
-        return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(s.astype(np.float64))], names=["a", "b", "similarity"])
+    """Rows sorted by (shard, members first) -> (a, b, similarity): a graph at a time, visitors as they come."""
+
+    def found(query: np.ndarray, ids: np.ndarray, rows: np.ndarray, sim: np.ndarray):
+        r, c = np.nonzero((rows >= 0) & (sim >= least))
+        a, b, s = query[r], ids[rows[r, c]], sim[r, c]
+        return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b]), pa.array(s[a != b].astype(np.float64))], names=["a", "b", "similarity"])
 
     def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if held:
+        shard, held, graph, ids = None, [], None, None
+
+        def build():
             table = pa.Table.from_batches(held)
-            shard = table.column("shard").to_numpy()
-            for s in np.unique(shard):
-                yield one(table.filter(pa.array(shard == s)))
+            ids = table.column("id").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            graph = Hnsw(_matrix(table.column("vec"), dim)[order])
+            asks = table.column("asks").to_numpy()[order] & table.column("first").to_numpy()[order]
+            own = np.nonzero(asks)[0]
+            ids = ids[order]
+            return graph, ids, found(ids[own], ids, *graph.search(graph.x[own], k + 1, ef, own)) if len(own) else None
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shards, member = batch.column("shard").to_numpy(), batch.column("member").to_numpy(zero_copy_only=False)
+            for start, end in _runs(shards.astype(np.int64) * 2 + member):
+                part = batch.slice(start, end - start)
+                if shards[start] != shard:
+                    if held and graph is None:  # nobody visited the last shard
+                        out = build()[2]
+                        if out is not None:
+                            yield out
+                    shard, held, graph = shards[start], [], None
+                if member[start]:
+                    held.append(part)
+                    continue
+                if graph is None:
+                    if not held:
+                        continue
+                    graph, ids, out = build()
+                    if out is not None:
+                        yield out
+                yield found(part.column("id").to_numpy(), ids, *graph.search(_matrix(part.column("vec"), dim), k, ef))
+        if held and graph is None:
+            out = build()[2]
+            if out is not None:
+                yield out
 
     return run
 
 
-def nearest(rows: DataFrame, item: str, vector: str, k: int, dim: int = 64, probes: int = 3, ef: int = 24, least: float = -2.0, queries=None, shard: int = SHARD) -> DataFrame:
+def nearest(rows: DataFrame, item: str, vector: str, k: int, dim: int = 64, probes: int = 3, ef: int = 24, least: float = -2.0, queries=None, shard: int = SHARD, max_cells: int = MAX_CELLS) -> DataFrame:
     """(item, neighbour, similarity, position) of the k most similar vectors of each query.
 
     ``queries`` is a condition on ``item`` that picks the vectors that ask, all by
     default; ``least`` leaves out neighbours below a similarity. Shuffles: equal
     vectors (map-side combine), and vectors to the shards they meet; everything
-    later carries ids only.
+    later carries ids only. ``max_cells`` bounds the cells of the first level.
     """
     spark = rows.sparkSession
     vectors = unit_vectors(rows, item, vector, dim)
@@ -189,26 +281,44 @@ def nearest(rows: DataFrame, item: str, vector: str, k: int, dim: int = 64, prob
         members = materialize(vectors.join(reps.where("copied").select(F.col("id").alias("rep"), "vec"), "vec").select("id", "rep").distinct(), "vector-copies")
 
     n = reps.count()
-    cells = max(1, min(MAX_CELLS, -(-n // shard)))
+    cells = max(1, min(max_cells, -(-n // shard)))
     part = min(1.0, SAMPLE_PER_CELL * cells / max(n, 1))
     picked = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(part * 1_000_003) + 1
     sample = reps.where(picked).select("vec").orderBy(F.xxhash64("vec")).limit(SAMPLE_PER_CELL * cells).collect()  # bounded by the two constants
     if not sample:
         return spark.createDataFrame([], f"{item} long, neighbour long, similarity double, position int")
     centres = train_cells(np.frombuffer(b"".join(r[0] for r in sample), dtype=np.float32).reshape(-1, dim), cells)
-    counts = reps.select("vec").mapInArrow(_homes(centres, dim), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # one row a cell
-    pieces = np.ones(len(centres), dtype=np.int64)
-    for c in counts:
-        pieces[c["cell"]] = -(-c["n"] // (2 * shard))
 
     asks = F.lit(True) if queries is None else queries(F.col("id"))
     if queries is not None and members is not None:  # a class asks if any of its members does
         asking = members.where(queries(F.col("id"))).select(F.col("rep").alias("id")).distinct().withColumn("_asks", F.lit(True))
         reps = reps.join(asking, "id", "left")
         asks = asks | F.coalesce("_asks", F.lit(False))
-    routed = reps.select("id", "vec", asks.alias("asks")).mapInArrow(_route(centres, pieces, dim, probes), "shard int, member boolean, asks boolean, id long, vec binary")
-    width = int(min(pieces.sum(), 20_000))
-    by_shard = routed.repartitionById(width, F.col("shard") % width)  # a partition is a shard, no two meet by hash
+    ready = reps.select("id", "vec", asks.alias("asks"))
+    routed = ready.mapInArrow(_route(centres, dim, probes), ROUTED)
+    sizes = materialize(ready.select("vec", "asks").mapInArrow(_visits(centres, dim, probes), "node long, n long, visits long").groupBy("node").agg(F.sum("n").alias("n"), F.sum("visits").alias("visits")), "cell-sizes")
+    for level in range(2, DEPTH + 1):
+        big = materialize(sizes.where(F.col("n") > 2 * shard), "large-cells")
+        if big.isEmpty():
+            break
+        routed = _split(routed, big, dim, probes, max(1, probes // 2) if level == 2 else 1, shard)
+        sizes = _sizes(routed)
+
+    # one row a cell: how many shards it is (only if no level could part it), and how many copies serve its visitors
+    pieces, copies = F.ceil(F.col("n") / (2.0 * shard)), F.greatest(F.ceil(F.col("visits") / VISITS), F.lit(1))
+    plan = sizes.where("n > 0").select("node", pieces.cast("int").alias("pieces"), copies.cast("int").alias("copies"))
+    before = F.sum(F.col("pieces") * F.col("copies")).over(Window.orderBy("node").rowsBetween(Window.unboundedPreceding, -1))
+    plan = materialize(plan.withColumn("first", F.coalesce(before, F.lit(0)).cast("int")), "shards")
+    width = int(min(plan.agg(F.sum(F.col("pieces") * F.col("copies"))).first()[0], 20_000))
+    piece, copy = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"), F.pmod(F.xxhash64("id", F.lit(7)), F.col("copies")).cast("int")
+    zero = F.lit(0)
+    # a member is in each copy of its own piece, and asks in the first; a visitor asks in one copy of each piece, a member of the others too
+    home = F.transform(F.sequence(zero, F.col("copies") - 1), lambda c: F.struct((F.col("first") + piece * F.col("copies") + c).alias("shard"), F.lit(True).alias("member"), (c == 0).alias("first")))
+    others = F.filter(F.sequence(zero, F.col("pieces") - 1), lambda p: F.col("asks") & (~F.col("member") | (p != piece)))
+    away = F.transform(others, lambda p: F.struct((F.col("first") + p * F.col("copies") + copy).alias("shard"), F.lit(False).alias("member"), F.lit(True).alias("first")))
+    to = F.explode(F.when(F.col("member"), F.concat(home, away)).otherwise(away)).alias("to")
+    sent = routed.join(plan, "node").select(to, "asks", "id", "vec").select("to.shard", "to.member", "to.first", "asks", "id", "vec")
+    by_shard = sent.repartitionById(width, F.col("shard") % width).sortWithinPartitions("shard", F.col("member").desc())  # up to 20,000 shards, no two meet by hash
     found = by_shard.mapInArrow(_search(dim, k, ef, least), "a long, b long, similarity double")
     position = F.row_number().over(Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b"))
     top = found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")).withColumn("position", position).where(F.col("position") <= k)

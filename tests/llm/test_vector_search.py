@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.llm.hnsw import Hnsw
+from recollect.llm import vector_search
 from recollect.llm.vector_search import nearest
 
 
@@ -11,28 +11,6 @@ def data(n, dim=16, seed=0):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def test_graph_recall():
-    x = data(3000).astype(np.float32)
-    g = Hnsw(x)
-    s = x @ x.T
-    np.fill_diagonal(s, -2)
-    true = np.argsort(-s, axis=1)[:, :5]
-    found, sim = g.search(x, 6, 32, np.arange(3000))
-    assert (found[:, 0] == np.arange(3000)).all() and (np.diff(sim, axis=1) <= 1e-6).all()
-    assert np.mean([len(set(a) & set(b[1:])) for a, b in zip(true, found, strict=True)]) / 5 > 0.97
-    q = data(200, seed=1).astype(np.float32)
-    true = np.argsort(-(q @ x.T), axis=1)[:, :5]
-    found, _ = g.search(q, 5, 64)
-    assert np.mean([len(set(a) & set(b)) for a, b in zip(true, found, strict=True)]) / 5 > 0.95
-
-
-@pytest.mark.parametrize("n", [1, 2, 3, 30])
-def test_small_graphs(n):
-    x = data(n).astype(np.float32)
-    found, _ = Hnsw(x).search(x, 5, 8, np.arange(n))
-    assert (np.sort(found, axis=1)[:, -min(n, 5) :] >= 0).all()
-
-
 def test_recall_over_shards_against_brute_force(spark):
     x = data(1500)
     rows = spark.createDataFrame([(i, [float(v) for v in x[i] * (1 + i % 7)], "e") for i in range(1500)], "id long, vec array<float>, similarity string")
@@ -46,6 +24,31 @@ def test_recall_over_shards_against_brute_force(spark):
     assert {r["id"] for r in some.select("id").distinct().collect()} == set(range(0, 1500, 100))
 
 
+@pytest.mark.parametrize("visits", [10**6, 100])
+def test_cells_are_parted_again_and_visitors_split(spark, monkeypatch, visits):
+    """Two levels of cells, and copies of shards that many vectors visit; recall against brute force, fan-out as stated."""
+    monkeypatch.setattr(vector_search, "VISITS", visits)
+    r = np.random.default_rng(5)
+    x = r.standard_normal((30, 16))[r.integers(0, 30, 3000)] + 0.5 * r.standard_normal((3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(3000)], "id long, vec array<float>")
+    got = nearest(rows, "id", "vec", 5, dim=16, probes=4, ef=32, shard=64, max_cells=4).collect()
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    true = {(i, int(j)) for i in range(3000) for j in np.argsort(-s[i])[:5]}
+    assert len(true & {(r["id"], r["neighbour"]) for r in got}) >= 0.9 * len(true)
+    assert len({(r["id"], r["position"]) for r in got}) == len(got) == 15_000
+
+
+def test_vectors_no_centre_can_part(spark):
+    """Vectors that differ in the last bits only fall into one cell on every level; it is cut by id and still searched whole."""
+    base = np.zeros(16)
+    base[0] = 1.0
+    rows = spark.createDataFrame([(i, [float(v) for v in base + 1e-4 * (np.arange(16) == 1 + i % 15) * (1 + i / 300)]) for i in range(300)], "id long, vec array<float>")
+    got = nearest(rows, "id", "vec", 3, dim=16, probes=2, ef=32, shard=8, max_cells=2).collect()
+    assert len(got) == 900 and min(r["similarity"] for r in got) > 0.999
+
+
 def test_copies_null_and_unusable_vectors(spark):
     x = data(40)
     v = lambda a: [float(z) for z in a]
