@@ -1,4 +1,4 @@
-"""Triplets, associations and contradictions.
+"""Triplets and associations.
 
 Loops over hops have a small fixed bound; each hop's result is written to the
 shared folder, so plans stay short and a lost executor costs one hop.
@@ -14,8 +14,6 @@ from recollect.storage import materialize
 #: What an association type is worth when followed.
 PRIOR = {"DerivedFrom": 1.0, "SameArtifact": 0.8, "SameSession": 0.6, "CoRetrieved": 0.5, "Supports": 0.4, "Contradicts": 0.3, "SemanticNeighbor": 0.7}
 REVERSE = 0.3
-#: Rows of a key met in one run; larger keys are cut into blocks that meet pairwise.
-RUN = 2_000
 
 
 def valid_at(at_ms: int) -> Column:
@@ -258,55 +256,6 @@ def illegal_edges(edges: DataFrame, memory: DataFrame) -> DataFrame:
     return both.where(~legal(F.col("c1"), F.col("c2"))).select("src", "dst", "type", "c1", "c2")
 
 
-def _met(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """All pairs a < b of the rows of one key, the values as (a, <value>_a) and (b, <value>_b).
-
-    Keys above ``RUN`` rows are cut into blocks by id hash and every two blocks
-    meet in a key of their own, so no hot key is one task's work.
-    """
-    sized = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("_n")).where(F.col("_n") > 0)
-    cut = rows.join(sized, keys).withColumn("_own", F.pmod(F.xxhash64("memory_id"), F.col("_n")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
-    x = cut.select(*keys, F.col("_own").alias("_p"), every.alias("_q"), F.col("memory_id").alias("a"), *[F.col(v).alias(f"{v}_a") for v in values])
-    y = cut.select(*keys, every.alias("_p"), F.col("_own").alias("_q"), F.col("memory_id").alias("b"), *[F.col(v).alias(f"{v}_b") for v in values])
-    return x.join(y, [*keys, "_p", "_q"]).where("a < b")
-
-
-def prefix_conflicts(memory: DataFrame, words: int = 6, most: int = 50) -> DataFrame:
-    """Pairs of memories of a realm with the same first words but other content, the first ``most`` by id."""
-    prefix = F.array_join(F.slice(F.split(F.lower(F.trim("content")), r"\s+"), 1, words), " ")
-    rows = memory.where(F.col("realm").isNotNull() & F.col("content").isNotNull()).select("memory_id", "realm", "content", prefix.alias("prefix"))
-    out = _met(rows, ["realm", "prefix"], ["content"]).where("content_a <> content_b")
-    return out.select("a", "b", F.lit(0.6).alias("score")).orderBy("a", "b").limit(most)
-
-
-NEGATIVE = r"\b(not|no|never|without|neither|nor|nicht|pas|sin)\b"
-
-
-def claim_scores(claims: DataFrame, least: float = 0.65) -> DataFrame:
-    """Contradictions between claims (memory_id, realm, key, polarity, value): all pairs of a (realm, key)."""
-    opposite = F.when(F.col("polarity_a") != F.col("polarity_b"), 0.9).when(F.col("value_a") != F.col("value_b"), 0.7).otherwise(0.0)
-    met = _met(claims, ["realm", "key"], ["polarity", "value"])
-    scored = met.select("a", "b", "key", opposite.alias("score")).where(F.col("score") >= least)
-    return scored.groupBy("a", "b").agg(F.max("score").alias("score"), F.max_by("key", F.struct("score", "key")).alias("key"))
-
-
-def transitive(direct: DataFrame, least: float = 0.5) -> DataFrame:
-    """A contradicts b and b contradicts c under another key: a and c at 0.85 of the weaker score."""
-    both = direct.select(F.col("a").alias("x"), F.col("b").alias("y"), "score").unionByName(direct.select(F.col("b").alias("x"), F.col("a").alias("y"), "score"))
-    hop = both.join(both.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("score").alias("s2")), "y").where("x < z")
-    out = hop.groupBy("x", "z").agg(F.max(F.least("score", "s2")).alias("s")).select(F.col("x").alias("a"), F.col("z").alias("b"), (0.85 * F.col("s")).alias("score"))
-    return out.where(F.col("score") >= least).join(direct.select("a", "b"), ["a", "b"], "left_anti")
-
-
-def resolutions(pairs: DataFrame, memory: DataFrame) -> DataFrame:
-    """The more confident side wins (ties: the older id); the loser falls to 0.05."""
-    c = memory.select("memory_id", "confidence")
-    both = pairs.join(c.toDF("a", "ca"), "a").join(c.toDF("b", "cb"), "b")
-    wins = F.col("ca") >= F.col("cb")
-    return both.select(F.when(wins, F.col("a")).otherwise(F.col("b")).alias("winner"), F.when(wins, F.col("b")).otherwise(F.col("a")).alias("loser"), F.lit(0.05).alias("loser_confidence"))
-
-
 def replication_sessions(memory: DataFrame, confirms: DataFrame) -> DataFrame:
     """Distinct sessions a memory is known from: its own and those of what confirms it."""
     own = memory.select("memory_id", "source_session")

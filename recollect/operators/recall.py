@@ -40,11 +40,14 @@ def suppress_lures(hits: DataFrame, k: int, order: list[Column]) -> DataFrame:
 def semantic(vectors: DataFrame, memory: DataFrame, query, k: int, ctx: Context, realm: str | None = None) -> DataFrame:
     """Three times k nearest, scored by all factors, lures suppressed, best k.
 
-    ``vectors`` are narrowed to the nearest first, so only those rows meet the
-    wide state table. A column ``contexts`` gives the cross-context boost.
+    The search itself is limited to what may be seen (live, of the realm if one is
+    given), so deleted memories and other realms take no places; only the nearest
+    then meet the wide state table. A column ``contexts`` gives the cross-context
+    boost.
     """
-    near = search(vectors, query, max(3 * k, 128) if realm else 3 * k).select("memory_id", F.col("similarity").alias("relevance_score"))
-    hits = decompose(visible(memory, realm).join(F.broadcast(near), "memory_id"), ctx)
+    seen = visible(memory, realm)
+    near = search(vectors, query, 3 * k, allowed=seen).select("memory_id", F.col("similarity").alias("relevance_score"))
+    hits = decompose(seen.join(F.broadcast(near), "memory_id"), ctx)  # near: 3k rows
     if "contexts" in memory.columns:
         hits = hits.withColumn("score", F.col("score") * (1.0 + 0.05 * F.least(F.greatest(F.coalesce("contexts", F.lit(0)) - 1.0, F.lit(0.0)), F.lit(3.0))))
     return suppress_lures(hits, k, [F.col("score").desc(), F.col("memory_id")])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recollect.operators import claims as C
 from recollect.operators import graph as G
 from recollect.operators import tape as T
 from recollect.sources.logical import DAY, NOW, T0, duck, view
@@ -145,24 +146,29 @@ def g_illegal_edges(s, d):
 
 
 def g_prefix_conflicts(s, d):
-    return G.prefix_conflicts(view(s, d, "memory"), words=3)
+    return C.prefix_conflicts(view(s, d, "memory"), words=2)
 
 
-def _claims(s, d):
-    m = view(s, d, "memory").where("realm IS NOT NULL AND content IS NOT NULL")
-    return m.select("memory_id", "realm", F.concat(F.lit("k"), (F.col("memory_id") % 40).cast("string")).alias("key"), F.when(F.rlike(F.lower("content"), F.lit(G.NEGATIVE)), -1).otherwise(1).alias("polarity"), F.col("kind").alias("value"))
+def _atoms(s, d):
+    return C.atoms(view(s, d, "claim"))
+
+
+def g_claim_members(s, d):
+    return C.members(_atoms(s, d))
 
 
 def g_contradictions(s, d):
-    return G.claim_scores(_claims(s, d)).select("a", "b", "score", "key")
+    return C.contradictions(C.classes(_atoms(s, d))).select("realm", "key", "claim_a", "claim_b", R6("score"))
 
 
 def g_transitive(s, d):
-    return G.transitive(G.claim_scores(_claims(s, d))).select("a", "b", R6("score"))
+    k = C.classes(_atoms(s, d))
+    return C.transitive(C.contradictions(k), k).select("realm", "via", "claim_b", "claim_c", R6("score"))
 
 
 def g_resolutions(s, d):
-    return G.resolutions(G.claim_scores(_claims(s, d)), view(s, d, "memory"))
+    a = _atoms(s, d)
+    return C.resolutions(C.contradictions(C.classes(a)), C.members(a), view(s, d, "memory"))
 
 
 def g_replication(s, d):
@@ -305,11 +311,30 @@ _CONT = ", c AS (SELECT a, b, count(*) AS n FROM bi GROUP BY 1, 2), cont AS (SEL
 _RULES = ", rule AS (SELECT a, b, count(*) AS support, CAST(max(least(outcome, 1)) AS DOUBLE) AS avg_outcome, min(turn) - 1 AS first, max(turn) - 1 AS last FROM bi GROUP BY 1, 2)\n"
 _REF = _RULES + ", tot AS (SELECT a, count(*) AS n FROM bi GROUP BY 1), ref AS (SELECT a, b, support, n - support AS contradict, (n - support) / n AS ratio, n FROM rule JOIN tot USING (a) WHERE support >= 5)\n"
 _MKT = _REF + ", pm AS (SELECT *, support / n AS p FROM ref WHERE n >= 3), mkt AS (SELECT a, b, ratio, p AS p_hat, greatest((p + 3.8416 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 0) AS wilson_lower, least((p + 3.8416 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 1) AS wilson_upper, CASE WHEN p > 0 AND p < 1 THEN -(p * log2(p) + (1 - p) * log2(1 - p)) ELSE 0e0 END AS g FROM pm), market AS (SELECT *, g AS info_gain, g * (1 - abs(p_hat - 0.5) * 2) AS probe_value FROM mkt)\n"
-_SETS = duck("tape") + ", st AS (SELECT CAST(floor(turn / 6) AS BIGINT) AS set_id, session_id AS member, tool AS context, turn AS pos FROM tape WHERE turn % 3 <> 0)\n"
+_SETS = duck("tape") + ", st AS (SELECT CAST(floor(turn / 6) AS BIGINT) AS set_id, session_id AS member, tool AS context, turn AS pos FROM tape)\n"
 _CO = _SETS + ", co AS (SELECT x.member AS a, y.member AS b, count(*) AS n, count(DISTINCT x.context) AS contexts FROM st x JOIN st y ON x.set_id = y.set_id AND x.member < y.member GROUP BY 1, 2)\n"
-_CP = _SETS + ", s3 AS (SELECT * FROM st WHERE member % 3 = 0), pr AS (SELECT x.member AS p, y.member AS q FROM s3 x JOIN s3 y ON x.set_id = y.set_id AND x.pos < y.pos), cp AS (SELECT src, dst, least(sum(w), 1.0) AS weight FROM (SELECT p AS src, q AS dst, 0.02::DOUBLE AS w FROM pr UNION ALL SELECT q, p, 0.006::DOUBLE FROM pr) GROUP BY 1, 2)\n"
+_CP = _SETS + ", pr AS (SELECT x.member AS p, y.member AS q FROM st x JOIN st y ON x.set_id = y.set_id AND x.pos < y.pos), cp AS (SELECT src, dst, least(sum(w), 1.0) AS weight FROM (SELECT p AS src, q AS dst, 0.02::DOUBLE AS w FROM pr UNION ALL SELECT q, p, 0.006::DOUBLE FROM pr) GROUP BY 1, 2)\n"
 _CLS = "CASE WHEN kind IN ('wisdom', 'insight', 'preference') THEN 'Thought' WHEN kind = 'correction' OR coalesce(contains(lower(substr(content, 1, 64)), 'decid'), false) THEN 'Decision' WHEN kind = 'operational' AND coalesce(contains(lower(substr(content, 1, 64)), 'src/'), false) THEN 'Artifact' ELSE 'Observation' END"
-_CLAIM = duck("memory") + ", cl AS (SELECT memory_id, realm, 'k' || (memory_id % 40) AS key, CASE WHEN regexp_matches(lower(content), '" + G.NEGATIVE + "') THEN -1 ELSE 1 END AS polarity, kind AS value FROM memory WHERE realm IS NOT NULL AND content IS NOT NULL), fi AS (SELECT realm, key, polarity AS p2, min(memory_id) AS fid, arg_min(value, memory_id) AS fv FROM cl GROUP BY 1, 2, 3), sc AS (SELECT least(memory_id, fid) AS a, greatest(memory_id, fid) AS b, key, CASE WHEN polarity <> p2 THEN 0.9e0 WHEN value <> fv THEN 0.7e0 ELSE 0e0 END AS score FROM cl JOIN fi USING (realm, key) WHERE memory_id <> fid), con AS (SELECT a, b, max(score) AS score, any_value(key) AS key FROM sc WHERE score >= 0.65 GROUP BY 1, 2)\n"
+_ROOT = lambda c: f"CASE WHEN contains({c}, '-not-') THEN split_part({c}, '-not-', 1) ELSE split_part({c}, '-only', 1) END"
+_MASK = lambda c, side: "(" + " + ".join(f"CASE WHEN list_contains(string_split_regex({c}, '[^a-z0-9]+'), '{p[side]}') THEN {1 << i} ELSE 0 END" for i, p in enumerate(C.ANTONYMS)) + ")"
+_HAS = lambda text, signs: "(" + " OR ".join(f"contains({text}, '{x}')" for x in signs) + ")"
+_CLAIM = (
+    duck("memory", "claim")
+    + f""", ato AS (SELECT DISTINCT memory_id, realm, domain, type = 'CORRECTION' AS correction, subject, predicate, object,
+      realm || ':' || domain || ':' || replace({_ROOT('subject')}, '-', ' ') || ':' || trim(replace({_ROOT('predicate')}, '-', ' ')) AS key,
+      CASE WHEN type = 'CORRECTION' THEN 'correction ' ELSE '' END || subject || '>' || predicate || '>' || object AS claim FROM claim WHERE realm IS NOT NULL),
+    k AS (SELECT realm, key, claim, domain, correction, subject, predicate, object, count(*) AS n, {_HAS("concat_ws(' ', subject, predicate, object)", C.NEGATIVE)} AS neg,
+      CASE {' '.join(f"WHEN {_HAS("concat_ws(' ', subject, predicate)", signs)} THEN '{m}'" for m, signs in C.MODALITY)} ELSE 'fact' END AS modality,
+      {_ROOT('predicate')} AS root, contains(predicate, 'not-') AS denies, {_MASK('predicate', 0)} AS p0, {_MASK('predicate', 1)} AS p1, {_MASK('object', 0)} AS o0, {_MASK('object', 1)} AS o1 FROM ato GROUP BY ALL)
+"""
+)
+_MEET = lambda p, q: f"(x.{p}0 & y.{q}1 <> 0 OR x.{p}1 & y.{q}0 <> 0)"
+_CSCORE = f"""(CASE WHEN x.key = y.key THEN 1e0 WHEN x.subject = y.subject AND (x.predicate = y.predicate OR x.root = y.root OR {_MEET('p', 'p')}) THEN 0.8e0 WHEN x.subject = y.subject THEN 0.6e0 ELSE 0e0 END * greatest(
+  CASE WHEN x.key = y.key AND x.neg <> y.neg THEN 1e0 ELSE 0e0 END, CASE WHEN x.correction AND contains(y.subject, x.subject) OR y.correction AND contains(x.subject, y.subject) THEN 0.9e0 ELSE 0e0 END,
+  CASE WHEN {_MEET('p', 'p')} OR {_MEET('o', 'o')} OR {_MEET('p', 'o')} OR {_MEET('o', 'p')} THEN 0.85e0 ELSE 0e0 END,
+  CASE WHEN x.predicate = y.predicate AND x.modality <> y.modality AND x.modality IN ('must', 'cannot') AND y.modality IN ('must', 'cannot') THEN 0.8e0 ELSE 0e0 END,
+  CASE WHEN x.root = y.root AND x.denies <> y.denies THEN 0.7e0 ELSE 0e0 END))"""
+_CON = _CLAIM + f", con AS (SELECT x.realm, x.key, x.claim AS claim_a, y.claim AS claim_b, {_CSCORE} AS score FROM k x JOIN k y ON x.realm = y.realm AND x.key = y.key AND (x.claim < y.claim OR x.claim = y.claim AND x.n > 1) WHERE {_CSCORE} >= 0.65)\n"
 _PRIOR = "CASE type " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in G.PRIOR.items()) + " END"
 
 
@@ -337,13 +362,16 @@ def _rank(rounds: int) -> str:
 
 
 def _ppr(rounds: int) -> str:
-    out = duck("edge") + ", fl AS (SELECT src, dst, max(weight) AS weight FROM edge GROUP BY 1, 2), cap AS (SELECT src, dst, weight FROM fl QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 64), m0 AS (SELECT unnest([1, 5, 30])::BIGINT AS src)"
+    """Rounds unrolled; the first whose change is below the tolerance is the result."""
+    out = duck("edge") + ", fl AS (SELECT src, dst, max(weight) AS weight FROM edge GROUP BY 1, 2), cap AS (SELECT src, dst, weight FROM fl QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 64), m0 AS MATERIALIZED (SELECT unnest([1, 5, 30])::BIGINT AS src)"
     for i in range(4):
-        out += f", m{i + 1} AS (SELECT DISTINCT src FROM (SELECT dst AS src FROM cap JOIN m{i} USING (src) UNION ALL SELECT src FROM m{i}) ORDER BY src LIMIT 4000)"
-    out += ", lo AS (SELECT * FROM cap WHERE src IN (SELECT src FROM m4) AND dst IN (SELECT src FROM m4)), sh AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS s FROM lo), re AS (SELECT * FROM (VALUES (1, 0.5e0), (5, 0.3e0), (30, 0.2e0)) t(node, p)), s0 AS (SELECT node, p AS score FROM re)"
+        out += f", m{i + 1} AS MATERIALIZED (SELECT src FROM m{i} UNION ALL (SELECT dst FROM cap WHERE src IN (SELECT src FROM m{i}) AND dst NOT IN (SELECT src FROM m{i}) GROUP BY 1 ORDER BY max(weight) DESC, dst LIMIT (SELECT 4000 - count(*) FROM m{i})))"
+    out += ", lo AS (SELECT * FROM cap WHERE src IN (SELECT src FROM m4) AND dst IN (SELECT src FROM m4)), sh AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS s FROM lo WHERE weight > 0), re AS (SELECT * FROM (VALUES (1, 0.5e0), (5, 0.3e0), (30, 0.2e0)) t(node, p)), s0 AS MATERIALIZED (SELECT node, p AS score FROM re)"
     for i in range(rounds):
-        out += f", s{i + 1} AS (SELECT node, sum(score) AS score FROM (SELECT dst AS node, 0.85e0 * score * s AS score FROM sh JOIN s{i} ON src = node WHERE s IS NOT NULL AND NOT isnan(s) UNION ALL SELECT node, 0.15e0 * p FROM re) GROUP BY 1)"
-    return out + f" SELECT node AS memory_id, round(score, 6) AS score FROM s{rounds} WHERE node NOT IN (1, 5, 30)"
+        out += f", s{i + 1} AS MATERIALIZED (SELECT node, sum(score) AS score FROM (SELECT dst AS node, 0.85e0 * score * s AS score FROM sh JOIN s{i} ON src = node UNION ALL SELECT node, 0.15e0 * p FROM re) GROUP BY 1)"
+    moved = " UNION ALL ".join(f"SELECT {i + 1} AS i, sum(abs(coalesce(x.score, 0) - coalesce(y.score, 0))) AS moved FROM s{i} x FULL JOIN s{i + 1} y USING (node)" for i in range(rounds))
+    every = " UNION ALL ".join(f"SELECT {i} AS i, node, score FROM s{i}" for i in range(1, rounds + 1))
+    return out + f", mv AS ({moved}), stop AS (SELECT coalesce((SELECT min(i) FROM mv WHERE moved < 1e-4), {rounds}) AS i) SELECT node AS memory_id, round(score, 6) AS score FROM ({every}) JOIN stop USING (i) WHERE node NOT IN (1, 5, 30)"
 
 
 def _td(back: int) -> str:
@@ -386,16 +414,18 @@ SQL = {
     + " SELECT node, round(level, 6) AS level FROM y3",
     "g_illegal_edges": duck("edge", "memory") + f", c AS (SELECT memory_id, {_CLS} AS class FROM memory) SELECT src, dst, type, a.class AS c1, b.class AS c2 FROM edge JOIN c a ON src = a.memory_id JOIN c b ON dst = b.memory_id WHERE a.class IN ('Observation', 'Decision') AND b.class = 'Thought'",
     "g_prefix_conflicts": duck("memory")
-    + ", p AS (SELECT memory_id, realm, content, array_to_string(list_slice(string_split_regex(lower(trim(content)), '\\s+'), 1, 3), ' ') AS prefix FROM memory WHERE realm IS NOT NULL AND content IS NOT NULL), h AS (SELECT realm, prefix, min(memory_id) AS a, arg_min(content, memory_id) AS c FROM p GROUP BY 1, 2 HAVING count(*) > 1) SELECT a, memory_id AS b, 0.6e0 AS score FROM p JOIN h USING (realm, prefix) WHERE memory_id <> a AND content <> c ORDER BY 1, 2 LIMIT 50",
-    "g_contradictions": _CLAIM + "SELECT * FROM con",
-    "g_transitive": _CLAIM
-    + ", bo AS (SELECT a AS x, b AS y, score FROM con UNION ALL SELECT b, a, score FROM con), tr AS (SELECT p.x AS a, q.y AS b, 0.85 * max(least(p.score, q.score)) AS score FROM bo p JOIN bo q ON p.y = q.x AND p.x < q.y GROUP BY 1, 2) SELECT a, b, round(score, 6) AS score FROM tr WHERE score >= 0.5 AND NOT EXISTS (SELECT 1 FROM con WHERE con.a = tr.a AND con.b = tr.b)",
-    "g_resolutions": _CLAIM + "SELECT CASE WHEN x.confidence >= y.confidence THEN a ELSE b END AS winner, CASE WHEN x.confidence >= y.confidence THEN b ELSE a END AS loser, 0.05e0 AS loser_confidence FROM con JOIN memory x ON x.memory_id = a JOIN memory y ON y.memory_id = b",
+    + f", p AS (SELECT min(memory_id) AS id, realm, array_to_string(list_slice(string_split_regex(lower(trim(substr(content, 1, 80))), '\\s+'), 1, 2), ' ') AS b, {_CLS.replace('content', "''")} AS c, content FROM memory WHERE realm IS NOT NULL AND length(content) >= 80 GROUP BY ALL) SELECT x.id AS a, y.id AS b, CASE WHEN x.c <> y.c THEN 0.6e0 ELSE 0.4e0 END AS score FROM p x JOIN p y ON x.realm = y.realm AND x.b = y.b AND x.id < y.id AND (x.c <> y.c OR x.content <> y.content) WHERE length(x.b) >= 10 ORDER BY 1, 2 LIMIT 50",
+    "g_claim_members": _CLAIM + "SELECT realm, key, claim, memory_id FROM ato",
+    "g_contradictions": _CON + "SELECT realm, key, claim_a, claim_b, round(score, 6) AS score FROM con",
+    "g_transitive": _CON
+    + f", t AS (SELECT x.realm, con.claim_a AS via, x.claim AS claim_b, y.claim AS claim_c, max({_CSCORE}) AS s FROM con JOIN k a ON a.realm = con.realm AND a.key = con.key AND a.claim = con.claim_a JOIN k x ON x.realm = con.realm AND x.key = con.key AND x.claim = con.claim_b JOIN k y ON y.realm = x.realm AND y.domain = x.domain AND {_ROOT('y.subject')} = {_ROOT('a.subject')} AND y.claim <> con.claim_a AND (y.claim <> x.claim OR y.key <> x.key) WHERE {_CSCORE} >= 0.65 GROUP BY 1, 2, 3, 4) SELECT realm, via, claim_b, claim_c, round(0.85 * s, 6) AS score FROM t",
+    "g_resolutions": _CON
+    + ", h AS (SELECT realm, key, claim, max(confidence) AS c FROM ato JOIN memory USING (memory_id, realm) GROUP BY 1, 2, 3), lost AS (SELECT con.realm, con.key, CASE WHEN x.c >= y.c THEN claim_b ELSE claim_a END AS claim, score FROM con JOIN h x ON x.realm = con.realm AND x.key = con.key AND x.claim = claim_a JOIN h y ON y.realm = con.realm AND y.key = con.key AND y.claim = claim_b WHERE claim_a < claim_b) SELECT memory_id AS loser, CASE WHEN max(score) < 0.75 THEN 0.3e0 ELSE 0.05e0 END AS loser_confidence FROM ato JOIN lost USING (realm, key, claim) GROUP BY 1",
     "g_replication": duck("memory") + "SELECT memory_id, count(DISTINCT s) AS sessions FROM (SELECT memory_id, memory_id % 7 AS s FROM memory UNION ALL SELECT m.memory_id, b.memory_id % 7 FROM memory m JOIN memory b ON b.memory_id = m.memory_id + 3) GROUP BY 1",
     "g_forgotten": duck("triplet", "edge", "memory") + ", del AS (SELECT memory_id FROM memory WHERE memory_id % 5 = 0) SELECT count(*) AS n, 'facts' AS what FROM triplet WHERE source_memory_id NOT IN (SELECT * FROM del) UNION ALL SELECT count(*), 'edges' FROM edge WHERE src NOT IN (SELECT * FROM del) AND dst NOT IN (SELECT * FROM del)",
     "e_expanded": duck("edge", "memory")
     + f", st AS (SELECT src, dst, 0.55e0 * {_PRIOR} * weight AS w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst, type) AS r FROM edge) WHERE r <= 16 AND dst IN (SELECT memory_id FROM memory WHERE status <> 'Archived')), l1 AS (SELECT dst, max(w) AS act FROM st WHERE src IN (1, 5, 30) GROUP BY 1), l2 AS (SELECT st.dst, max(act * w) AS act FROM st JOIN l1 ON st.src = l1.dst GROUP BY 1) SELECT dst AS memory_id, round(max(act), 6) AS activation FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) WHERE dst NOT IN (1, 5, 30) GROUP BY 1",
-    "e_ppr": _ppr(6),
+    "e_ppr": _ppr(25),
     "h_packed": duck("tape") + ", t AS (SELECT tool, row_number() OVER (ORDER BY min(turn), tool) - 1 AS tid FROM tape GROUP BY 1), e AS (SELECT entity, row_number() OVER (ORDER BY min(turn), entity) - 1 AS eid FROM tape GROUP BY 1) SELECT turn, tid * 1099511627776 + outcome * 4294967296 + eid AS packed FROM tape JOIN t USING (tool) JOIN e USING (entity)",
     "h_occurrences": _H + "SELECT turn FROM bi WHERE a = 'view|0|k1' AND b = 'click|0|k2'",
     "h_last_occurrence": _H + "SELECT max(turn) AS turn FROM sy WHERE sym = 'view|0|k1'",

@@ -279,7 +279,7 @@ SQL = {
     + f", tf AS (SELECT id, term, count(*) AS tf FROM (SELECT memory_id AS id, unnest({_TOK}) AS term FROM memory WHERE content IS NOT NULL) GROUP BY 1, 2), v AS (SELECT id, feature, sum(tf * idf * weight) AS value FROM tf JOIN model USING (term) GROUP BY 1, 2) SELECT id, feature, round(value, 4) AS value FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY value DESC, feature) <= 8",
     "c_signature_text": _N + "SELECT memory_id, length(array_to_string(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '^\\s*(" + "|".join(re.escape(x) for x in L.SIGNATURES) + ")')), chr(10))) AS n FROM note",
     "c_seeds": _N
-    + "SELECT memory_id, unnest(list_distinct(list_concat(regexp_extract_all(c, '@([\\p{L}\\p{N}_-]+)', 1), regexp_extract_all(c, '\"([^\"]+)\"', 1), regexp_extract_all(c, '\\s(\\p{Lu}[\\p{L}\\p{N}]+)', 1)))) AS seed FROM (SELECT memory_id, substr(content, 1, 200) AS c FROM note)",
+    + "SELECT memory_id, unnest(list_distinct(list_concat(regexp_extract_all(c, '@([\\p{L}\\p{N}_-]+)', 1), regexp_extract_all(c, '\"([^\"]+)\"', 1), regexp_extract_all(c, '\\s(\\p{Lu}[\\p{L}\\p{N}]+)', 1)))) AS seed FROM (SELECT memory_id, content AS c FROM note)",
     "c_claims": _N
     + ", l AS (SELECT memory_id, unnest(string_split(content, chr(10))) AS line FROM note) SELECT memory_id, "
     + ", ".join(f"trim(regexp_extract(line, '^\\[([^\\]]+)\\] \\[([^\\]]+)\\] (.*?)(?:->(.*?))?(?:->(.*?))?(?: F:[A-Z]+)?$', {i})) AS {n}" for i, n in enumerate(("type", "domain", "subject", "predicate", "object"), 1))

@@ -217,6 +217,17 @@ def e_semantic(s, d):
     return R.semantic(_vec(s, d), _mem(s, d), _query(s, d), 15, CTX).select("memory_id", R6("score"))
 
 
+def e_semantic_realm(s, d):
+    """All memories of a realm compete, however far from the query."""
+    return R.semantic(_vec(s, d), _mem(s, d), _query(s, d), 40, CTX, realm="project:ember").select("memory_id", R6("score"))
+
+
+def e_semantic_deleted(s, d):
+    """Nine of ten memories deleted (blank): the rest is found all the same."""
+    m = _mem(s, d).withColumn("content", F.when(F.col("memory_id") % 10 == 0, F.col("content")).otherwise(F.lit("")))
+    return R.semantic(_vec(s, d), m, _query(s, d), 15, CTX).select("memory_id", R6("score"))
+
+
 def e_keyword(s, d):
     return R.keyword(_mem(s, d), QUERY, 15, CTX).select("memory_id", R6("score"))
 
@@ -338,9 +349,9 @@ def _factors(q_valence: float | None, q_arousal: float | None, relevance: str) -
 
 
 _SIGMOID = "1.0 / (1.0 + exp(-(3.27 * relevance_score - 0.85)))"
-_SEM = lambda k, ctx: (
+_SEM = lambda k, ctx, cond="true": (
     _SIM
-    + f", near AS (SELECT memory_id, similarity AS relevance_score FROM sim ORDER BY similarity DESC, memory_id LIMIT {3 * k}), src AS (SELECT m.*, relevance_score FROM memory m JOIN near USING (memory_id) WHERE length(trim(content)) > 0 AND NOT coalesce(starts_with(realm, 'soul:'), false)), scored AS "
+    + f", seen AS (SELECT * FROM memory WHERE length(trim(content)) > 0 AND NOT coalesce(starts_with(realm, 'soul:'), false) AND {cond}), near AS (SELECT memory_id, similarity AS relevance_score FROM sim WHERE memory_id IN (SELECT memory_id FROM seen) ORDER BY similarity DESC, memory_id LIMIT {3 * k}), src AS (SELECT m.*, relevance_score FROM seen m JOIN near USING (memory_id)), scored AS "
     + _factors(*ctx, _SIGMOID).format(src="src")
     + ", ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, memory_id) AS rk FROM scored), tail AS (SELECT *, count(CASE WHEN lure_risk >= 0.7 AND rk > 1 THEN 1 END) OVER (ORDER BY rk DESC) AS tl FROM ranked)"
     + f", sem AS (SELECT * FROM tail WHERE NOT (lure_risk >= 0.7 AND rk > 1) OR tl > 2 ORDER BY rk LIMIT {k})\n"
@@ -400,6 +411,8 @@ SQL = {
     + ", e AS (SELECT *, coalesce(last_value(op_ts_ms IGNORE NULLS) OVER (PARTITION BY instance_id ORDER BY seqno ROWS UNBOUNDED PRECEDING), 0) AS t FROM delta), l AS (SELECT memory_id, list({'s': 0e0, 'l': 0::BIGINT, 'n': 0::BIGINT, 'd': strength_delta, 't': t::BIGINT} ORDER BY t, instance_id, seqno) AS ops FROM e GROUP BY 1), r AS (SELECT memory_id, list_reduce(ops, lambda a, e: CASE WHEN e.t > 0 AND e.t <= a.l THEN a ELSE {'s': least(greatest(a.s + e.d, 0e0), 1e0), 'l': greatest(a.l, e.t), 'n': a.n + 1, 'd': 0e0, 't': 0::BIGINT} END, {'s': 0.5e0, 'l': (-1)::BIGINT, 'n': 0::BIGINT, 'd': 0e0, 't': 0::BIGINT}) AS r FROM l) SELECT memory_id, round(r.s, 6) AS strength, r.n AS applied FROM r",
     "f_outcome_posterior": duck("tape") + "SELECT session_id, round((1 + sum(CASE WHEN outcome = 0 AND value > 0 THEN least(value / 20e0, 5) ELSE 0 END)) / (2 + sum(CASE WHEN value > 0 THEN least(value / 20e0, 5) ELSE 0 END)), 6) AS utility FROM tape GROUP BY 1",
     "e_semantic": duck("memory", "vectors") + _SEM(15, (-0.6, 0.7)) + "SELECT memory_id, round(score, 6) AS score FROM sem",
+    "e_semantic_realm": duck("memory", "vectors") + _SEM(40, (-0.6, 0.7), "realm = 'project:ember'") + "SELECT memory_id, round(score, 6) AS score FROM sem",
+    "e_semantic_deleted": duck("memory", "vectors") + _SEM(15, (-0.6, 0.7), "memory_id % 10 = 0") + "SELECT memory_id, round(score, 6) AS score FROM sem",
     "e_keyword": _TERMS + _KW(15, (-0.6, 0.7)) + "SELECT memory_id, round(score, 6) AS score FROM kw",
     "e_rrf": _TERMS
     + _VIEWV
@@ -419,8 +432,8 @@ SQL = {
     "e_lures": _MEMSQL
     + ", h AS (SELECT memory_id, strength AS score, lure_risk, row_number() OVER (ORDER BY strength DESC, memory_id) AS rk FROM memory ORDER BY strength DESC, memory_id LIMIT 30), t AS (SELECT *, count(CASE WHEN lure_risk >= 0.7 AND rk > 1 THEN 1 END) OVER (ORDER BY rk DESC) AS tl FROM h) SELECT memory_id, score FROM t WHERE NOT (lure_risk >= 0.7 AND rk > 1) OR tl > 2",
     "e_knn_edges": _ST + _KNN(5, "similarity >= 0") + "SELECT src, dst, round(similarity, 6) AS similarity, rank FROM knn",
-    "e_harness_conflicts": _ST + _MEMC + _KNN(20) + "SELECT least(src, dst) AS a, greatest(src, dst) AS b, round(min(1.0 - similarity), 6) AS score FROM knn JOIN memory x ON x.memory_id = src JOIN memory y ON y.memory_id = dst WHERE x.harness <> y.harness AND 1.0 - similarity >= 0 GROUP BY 1, 2 ORDER BY min(1.0 - similarity), 1, 2 LIMIT 50",
-    "e_near_duplicates": _ST + _KNN(20, "similarity >= 0.05 AND similarity < 0.9999") + "SELECT greatest(src, dst) AS loser, min(least(src, dst)) AS keep, round(max(similarity), 6) AS similarity FROM knn GROUP BY 1",
+    "e_harness_conflicts": _ST.replace(" WHERE a.memory_id % 100 = 0", "") + _MEMC + _KNN(20) + "SELECT least(src, dst) AS a, greatest(src, dst) AS b, round(min(1.0 - similarity), 6) AS score FROM knn JOIN memory x ON x.memory_id = src JOIN memory y ON y.memory_id = dst WHERE x.harness <> y.harness AND 1.0 - similarity >= 0 GROUP BY 1, 2 ORDER BY min(1.0 - similarity), 1, 2 LIMIT 50",
+    "e_near_duplicates": _ST.replace(" WHERE a.memory_id % 100 = 0", "") + "SELECT greatest(src, dst) AS loser, min(least(src, dst)) AS keep, round(max(similarity), 6) AS similarity FROM pr WHERE similarity >= 0.05 AND similarity < 0.9999 GROUP BY 1",
     "e_crowding": _ST + _MEMC + _KNN(8, "similarity < 0.9999") + "SELECT src, round(avg(similarity), 6) AS competitive_weight, round(avg(similarity) * avg(CASE WHEN x.kind = y.kind THEN 1.0 ELSE 0.0 END), 6) AS lure_risk FROM knn LEFT JOIN memory x ON x.memory_id = src LEFT JOIN memory y ON y.memory_id = dst GROUP BY 1",
     "e_utility_multiplier": _MEMSQL + "SELECT memory_id, round(0.7 + 0.3 * confidence, 6) AS multiplier FROM memory",
 }

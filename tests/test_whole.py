@@ -35,28 +35,6 @@ def test_conflicts_ask_with_every_memory(spark, monkeypatch):
     assert {(r["a"], r["b"]) for r in recall_queries.e_harness_conflicts(spark, "").collect()} == {(1, 2), (3, 5)}
 
 
-@pytest.mark.parametrize("run", [2000, 4])
-def test_contradictions_are_all_pairs(spark, monkeypatch, run):
-    monkeypatch.setattr(G, "RUN", run)
-    rows = [(1, "r", "k", 1, "A"), (2, "r", "k", 1, "A"), (3, "r", "k", 1, "B"), (4, "r", "k", -1, "A"), (5, "r", "other", 1, "B"), (6, "s", "k", -1, "B")]
-    rows += [(10 + i, "t", "k", (-1) ** (i // 3), "AB"[i % 2]) for i in range(12)]
-    claims = spark.createDataFrame(rows, "memory_id long, realm string, key string, polarity int, value string")
-    want = {}
-    for i, x in enumerate(rows):
-        for y in rows[i + 1 :]:
-            score = 0.0 if x[1:3] != y[1:3] else 0.9 if x[3] != y[3] else 0.7 if x[4] != y[4] else 0.0
-            if score:
-                want[x[0], y[0]] = score
-    got = G.claim_scores(claims).collect()
-    assert {(r["a"], r["b"]): r["score"] for r in got} == want and len(got) == len(want)
-
-
-def test_prefix_conflicts_are_all_pairs(spark):
-    rows = [(1, "r", "one two three a"), (2, "r", "one two three b"), (3, "r", "One two  three c"), (4, "r", "one two three a")]
-    out = G.prefix_conflicts(spark.createDataFrame(rows, "memory_id long, realm string, content string"), words=3)
-    assert [(r["a"], r["b"]) for r in out.collect()] == [(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)]
-
-
 def test_prototypes_and_errors_are_of_all_rows(spark, monkeypatch):
     x = np.random.default_rng(2).standard_normal((620, 64))
     x[520:] += 4.0
