@@ -99,10 +99,10 @@ def build_chains(facts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 class HistoryTable:
     """History kept in a :class:`BucketStore`; ``apply`` takes batches in any order of delivery."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, hot_rows: int = HOT_ROWS):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16, hot_rows: int = HOT_ROWS):
         parse = spark.createDataFrame
         schemas = {"facts": parse([], FACT).schema, "owner": parse([], "id bigint, subject string, predicate string").schema, "chains": parse([], VERSION).schema}
-        self.store, self.hot_rows = BucketStore(spark, root, buckets, schemas), hot_rows
+        self.store, self.hot_rows = BucketStore(spark, root, buckets, schemas, {"facts": ENTITY, "owner": ["id"], "chains": ENTITY}), hot_rows
 
     def versions(self) -> DataFrame:
         return self.store.read("chains")
@@ -110,10 +110,12 @@ class HistoryTable:
     def apply(self, changes: DataFrame) -> int:
         """Fold one batch in; returns the committed version.
 
-        Reads the id buckets of the batch and the entity buckets touched, no others.
+        Reads and rewrites the id buckets of the batch and the entity buckets
+        touched, no others: at most one bucket of bounded size per changed row.
         """
         store = self.store
         news = materialize(last_records(changes), "history-news")
+        store.expect(news.count())
         id_buckets = store.touched(news, "id")
         owner = store.read("owner", id_buckets)
         moved = owner.join(news.select("id"), "id")

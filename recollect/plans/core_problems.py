@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from recollect import storage
 from recollect.operators.changefeed import ChangedTable
-from recollect.operators.hierarchy import descendants, hierarchy
+from recollect.operators.hierarchy import descendants, hierarchy, levels
 from recollect.operators.history import HistoryTable
 from recollect.sources.tables import table
 
 #: A feed is applied as a bulk load and the tail of the last days, so that late and corrected rows meet a built table.
 TAIL_DAYS = 30
+#: Least number of buckets; more as the rows ask for.
 BUCKETS = 16
 
 
@@ -43,34 +44,34 @@ def p3_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.groupBy("subject", "predicate").agg(F.count(F.lit(1)).alias("n_versions"), latest.alias("l")).select("subject", "predicate", "n_versions", "l.object", "l.valid_from_ms", "l.valid_to_ms")
 
 
-def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy(table(spark, sf_dir, "fact_branch", "id", "parent_id", "recorded_at"))
+def _branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "fact_branch", "id", "parent_id", "recorded_at")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tree(spark, sf_dir)
+    return hierarchy(_branches(spark, sf_dir))
 
 
 def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (ancestor, descendant) pair with its distance."""
-    return descendants(storage.materialize(_tree(spark, sf_dir), "tree"))
+    return descendants(levels(_branches(spark, sf_dir)))
 
 
-def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _changed(spark: SparkSession, sf_dir: str) -> ChangedTable:
     feed = table(spark, sf_dir, "content_op", "instance_id", "seqno", "op_type", "memory_id", "content", "op_ts_ms", "received_at")
-    changed = ChangedTable(spark, storage.new_path(spark, "feed"), BUCKETS, with_content=False)
+    changed = ChangedTable(spark, storage.new_path(spark, "feed"), BUCKETS)
     for batch in _deliveries(feed, "received_at"):
         changed.apply(batch)
-    return changed.state().select("memory_id", "instance_id", "seqno")
+    return changed
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changed(spark, sf_dir).state().select("memory_id", "instance_id", "seqno")
 
 
 def p7_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Present content of every memory alive, kept in the table itself."""
-    feed = table(spark, sf_dir, "content_op", "instance_id", "seqno", "op_type", "memory_id", "content", "op_ts_ms", "received_at")
-    changed = ChangedTable(spark, storage.new_path(spark, "feed"), BUCKETS)
-    for batch in _deliveries(feed, "received_at"):
-        changed.apply(batch)
-    return changed.state().select("memory_id", "content")
+    """Present content of every memory alive, from the same table."""
+    return _changed(spark, sf_dir).state().select("memory_id", "content")
 
 
 _P3 = """

@@ -89,6 +89,12 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or a folder with all below it."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names directly below ``path``; empty if it does not exist."""
     fs, p = _fs(spark, path)

@@ -180,11 +180,11 @@ def test_manifest_conflict(spark):
     root = storage.new_path(spark, "store")
     a, b = (BucketStore(spark, root, 2, {"t": schema}) for _ in range(2))
     a.commit({})
-    real = b._manifest
-    b._manifest = lambda: (0, {"t": {}})
+    real = b._versions
+    b._versions = lambda: []
     with pytest.raises(ConcurrentCommit):
         b.commit({})
-    b._manifest = real
+    b._versions = real
     assert b.version == 1
 
 
