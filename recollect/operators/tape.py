@@ -26,16 +26,26 @@ def symbol(tool: str = "tool", outcome: str = "outcome", entity: str = "entity")
 
 
 def vocabulary(tape: DataFrame, column: str) -> DataFrame:
-    """H2: ids of names in order of first occurrence; the names of tools and entities are few."""
-    first = tape.groupBy(column).agg(F.min("turn").alias("first"))
-    return first.select(column, (F.row_number().over(Window.orderBy("first", column)) - 1).alias("id"))
+    """H2: (name, id) in order of first occurrence.
+
+    First turns are cut into ranges of ``BLOCK`` turns; names are numbered within a
+    range and ranges by the names before them, so no task sorts all names.
+    """
+    first = materialize(tape.groupBy(column).agg(F.min("turn").alias("first")).withColumn("_r", F.floor(F.col("first") / BLOCK)), "vocabulary")
+    counts = first.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    inside = F.row_number().over(Window.partitionBy("_r").orderBy("first", column)) - 1
+    return first.withColumn("_i", inside).join(counts.select("_r", before.alias("_b")), "_r").select(column, (F.col("_b") + F.col("_i")).alias("id"))
 
 
 def packed(tape: DataFrame) -> DataFrame:
-    """H1: (turn, packed) with the tool in bits 40 up, the outcome in 32-39 and the entity below."""
+    """H1: (turn, packed) with the tool in bits 40 up, the outcome in 32-39 and the entity below.
+
+    Names are joined, small vocabularies by broadcast as adaptive execution sees their size.
+    """
     t = vocabulary(tape, "tool").withColumnRenamed("id", "tid")
     e = vocabulary(tape, "entity").withColumnRenamed("id", "eid")
-    rows = tape.join(F.broadcast(t), "tool").join(F.broadcast(e), "entity")
+    rows = tape.join(t, "tool").join(e, "entity")
     long = lambda c: F.col(c).cast("long")
     return rows.select("turn", F.shiftleft(long("tid"), 40).bitwiseOR(F.shiftleft(long("outcome"), 32)).bitwiseOR(long("eid")).alias("packed"))
 

@@ -75,74 +75,103 @@ def intent(text: Column) -> Column:
 
 
 MONTHS = "january february march april may june july august september october november december".split()
-_DATE = r"(\d{4}-\d{2}-\d{2}|today|yesterday|(?:" + "|".join(MONTHS) + r")(?:\s+\d{4})?)"
-
-
-def _span(phrase: str, today: date) -> tuple[date, date] | None:
-    p = phrase.lower().strip()
-    if p in ("today", "yesterday"):
-        d = today - timedelta(days=p == "yesterday")
-        return d, d + timedelta(days=1)
-    if re.fullmatch(r"\d{4}-\d{2}-\d{2}", p):
-        try:
-            d = date.fromisoformat(p)
-        except ValueError:
-            return None
-        return d, d + timedelta(days=1)
-    name, _, year = p.partition(" ")
-    month = MONTHS.index(name) + 1
-    y = int(year) if year.strip() else today.year - (month > today.month)
-    return date(y, month, 1), date(y + month // 12, month % 12 + 1, 1)
+#: Lengths of rolling periods.
+LENGTH = {"hour": HOUR, "day": DAY, "week": 7 * DAY, "month": 30 * DAY, "year": 365 * DAY}
+YEARS = range(1970, 2200)
+
+
+def _month(year: int, month: int) -> tuple[date, date]:
+    return date(year, month, 1), date(year + month // 12, month % 12 + 1, 1)
+
+
+def _span(words: list[str], at: int, today: date) -> tuple[date, date, int] | None:
+    """Days a date phrase stands for, the end excluded, and the number of its words; None where none begins."""
+    word = words[at] if at < len(words) else ""
+    if word in ("today", "yesterday"):
+        day = today - timedelta(days=word == "yesterday")
+        return day, day + timedelta(days=1), 1
+    if word in MONTHS:
+        month, following = MONTHS.index(word) + 1, words[at + 1] if at + 1 < len(words) else ""
+        if len(following) == 4 and following.isdigit() and int(following) in YEARS:
+            return *_month(int(following), month), 2
+        return *_month(today.year - (month > today.month), month), 1
+    numbers = word.split("-")
+    if [len(n) for n in numbers] not in ([4], [4, 2], [4, 2, 2]) or not all(n.isdigit() for n in numbers) or int(numbers[0]) not in YEARS:
+        return None
+    try:
+        first = date(*map(int, [*numbers, "1", "1"][:3]))
+    except ValueError:
+        return None
+    if len(numbers) == 1:
+        return first, date(first.year + 1, 1, 1), 1
+    return (*_month(first.year, first.month), 1) if len(numbers) == 2 else (first, first + timedelta(days=1), 1)
+
+
+def _calendar(unit: str, today: date) -> tuple[date, date]:
+    """First days of the last and of the present week (from Monday), month or year."""
+    if unit == "week":
+        start = today - timedelta(days=today.weekday())
+        return start - timedelta(days=7), start
+    start = today.replace(day=1) if unit == "month" else date(today.year, 1, 1)
+    return ((start - timedelta(days=1)).replace(day=1) if unit == "month" else date(today.year - 1, 1, 1)), start
 
 
 def time_window(query: str, now_ms: int, tz_offset_min: int = 0) -> tuple[int, int, str] | None:
     """(from, to, rest of the query) in UTC milliseconds for the first time phrase found, else None.
 
-    Weeks begin on Monday; a month without a year is the latest one that began;
-    "last n months" are 30 days each.
+    Read word by word: "between D and D", "since D", "after D", "before D", "on D",
+    "last/past N hours|days|weeks|months", "past week|month|year" (rolling),
+    "this/last week|month|year" (calendar, weeks from Monday), "yesterday", "today",
+    "in D"; D is a day, YYYY-MM, a year, or a month with or without year (then the
+    latest that began). Forms are tried in this order. "Last N months" are 30 days each.
     """
     shift = tz_offset_min * 60_000
     now = now_ms + shift
     today = datetime.fromtimestamp(now / 1000, UTC).date()
-    at = lambda d: int(datetime(d.year, d.month, d.day, tzinfo=UTC).timestamp() * 1000)
-
-    def between(m):
-        a, b = _span(m[1], today), _span(m[2], today)
-        return a and b and (min(at(a[0]), at(b[0])), max(at(a[1]), at(b[1])))
-
-    def one(m):
-        a = _span(m[1], today)
-        return a and (at(a[0]), at(a[1]))
-
-    def calendar(m):
-        this, unit = m[1].lower() == "this", m[2].lower()
-        if unit == "week":
-            start = today - timedelta(days=today.weekday())
-            before = start - timedelta(days=7)
-        elif unit == "month":
-            start = today.replace(day=1)
-            before = (start - timedelta(days=1)).replace(day=1)
-        else:
-            start, before = date(today.year, 1, 1), date(today.year - 1, 1, 1)
-        return (at(start), now) if this else (at(before), at(start))
-
-    unit = {"hour": HOUR, "day": DAY, "week": 7 * DAY, "month": 30 * DAY, "year": 365 * DAY}
-    rules = [
-        (rf"\bbetween\s+{_DATE}\s+and\s+{_DATE}", between),
-        (rf"\bsince\s+{_DATE}", lambda m: (s := _span(m[1], today)) and (at(s[0]), now)),
-        (rf"\bbefore\s+{_DATE}", lambda m: (s := _span(m[1], today)) and (0, at(s[0]))),
-        (r"\bon\s+(\d{4}-\d{2}-\d{2})", one),
-        (r"\b(?:in the )?(?:last|past)\s+(\d+)\s+(hour|day|week|month)s?\b", lambda m: (now - int(m[1]) * unit[m[2].lower()], now)),
-        (r"\bpast\s+(week|month|year)\b", lambda m: (now - unit[m[1].lower()], now)),
-        (r"\b(this|last)\s+(week|month|year)\b", calendar),
-        (r"\b(yesterday)\b", one),
-        (r"\b(today)\b", lambda m: (at(today), now)),
-        (r"\bin\s+((?:" + "|".join(MONTHS) + r")(?:\s+\d{4})?)", one),
+    ms = lambda d: int(datetime(d.year, d.month, d.day, tzinfo=UTC).timestamp() * 1000)
+    found = list(re.finditer(r"[^\s,.;:!?()\"']+", query))
+    words = [m[0].lower() for m in found]
+
+    def between(i):
+        a = _span(words, i + 1, today)
+        j = i + 1 + a[2] if a else 0
+        b = _span(words, j + 1, today) if a and words[j : j + 1] == ["and"] else None
+        return b and (min(ms(a[0]), ms(b[0])), max(ms(a[1]), ms(b[1])), 2 + a[2] + b[2])
+
+    def dated(i, window):
+        a = _span(words, i + 1, today)
+        return a and (*window(ms(a[0]), ms(a[1])), 1 + a[2])
+
+    def counted(i):
+        n, unit = (words[i + 1 : i + 3] + ["", ""])[:2]
+        unit = unit.removesuffix("s")
+        return (now - int(n) * LENGTH[unit], now, 3) if n.isdigit() and len(n) <= 3 and unit in LENGTH and unit != "year" else None
+
+    def period(i):
+        unit = words[i + 1] if i + 1 < len(words) else ""
+        if unit not in ("week", "month", "year"):
+            return None
+        if words[i] == "past":
+            return now - LENGTH[unit], now, 2
+        before, start = _calendar(unit, today)
+        return (ms(start), now, 2) if words[i] == "this" else (ms(before), ms(start), 2)
+
+    whole = lambda a, b: (a, b)
+    forms = [
+        (("between",), between),
+        (("since", "after"), lambda i: dated(i, lambda a, b: (a, now))),
+        (("before",), lambda i: dated(i, lambda a, b: (0, a))),
+        (("on",), lambda i: dated(i, whole) if re.fullmatch(r"\d{4}-\d\d-\d\d", "".join(words[i + 1 : i + 2])) else None),
+        (("last", "past"), counted),
+        (("past", "this", "last"), period),
+        (("yesterday",), lambda i: (ms(today - timedelta(days=1)), ms(today), 1)),
+        (("today",), lambda i: (ms(today), now, 1)),
+        (("in",), lambda i: dated(i, whole)),
     ]
-    for pattern, window in rules:
-        m = re.search(pattern, query, re.IGNORECASE)
-        found = m and window(m)
-        if found:
-            rest = " ".join((query[: m.start()] + " " + query[m.end() :]).split())
-            return found[0] - shift, found[1] - shift, rest
+    for heads, read in forms:
+        for i, word in enumerate(words):
+            hit = read(i) if word in heads else None
+            if hit:
+                rest = query[: found[i].start()] + " " + query[found[i + hit[2] - 1].end() :]
+                return hit[0] - shift, hit[1] - shift, " ".join(rest.split())
     return None

@@ -1,3 +1,5 @@
+from datetime import datetime, timezone
+
 """Literal cases: scoring, folds, routing, time windows, storage, streams."""
 
 import random
@@ -175,6 +177,25 @@ def test_window_offset():
     assert b[0] == a[0] - 2 * 3_600_000
 
 
+def test_time_grammar():
+    now, tz = 1783353600000, 120  # 2026-07-06 16:00 UTC, a Monday
+    day = lambda y, m, d: int(datetime(y, m, d, tzinfo=timezone.utc).timestamp() * 1000) - tz * 60_000
+    win = lambda q: time_window(q, now, tz)
+    assert [win(q) for q in ("how does the span lane dedup work", "the last word on this", "in 45 minutes", "in 0045")] == [None] * 4
+    assert win("what did we do last week on the span lane") == (day(2026, 6, 29), day(2026, 7, 6), "what did we do on the span lane")
+    assert win("failures in the last 3 days") == (now - 3 * 86_400_000, now, "failures in the")
+    assert win("past week")[:2] == (now - 7 * 86_400_000, now)
+    assert win("yesterday")[:2] == (day(2026, 7, 5), day(2026, 7, 6)) and win("today?")[:2] == (day(2026, 7, 6), now)
+    assert win("what changed with the reranker in June") == (day(2026, 6, 1), day(2026, 7, 1), "what changed with the reranker")
+    assert win("in december")[0] == day(2025, 12, 1) and win("in December 2024")[1] == day(2025, 1, 1)
+    assert win("since 2026-05-15")[:2] == win("after 2026-05-15")[:2] == (day(2026, 5, 15), now)
+    assert win("before 2026-03")[:2] == (-tz * 60_000, day(2026, 3, 1))
+    assert win("between 2026-04 and 2026-06")[:2] == (day(2026, 4, 1), day(2026, 7, 1))
+    assert win("on 2026-06-15")[:2] == (day(2026, 6, 15), day(2026, 6, 16)) and win("on 2026-06-31") is None
+    assert win("in 2026")[:2] == (day(2026, 1, 1), day(2027, 1, 1)) and win("in 2026-06")[:2] == (day(2026, 6, 1), day(2026, 7, 1))
+    assert win("since yesterday")[0] == day(2026, 7, 5) and win("last 400 years") is None and win("") is None
+
+
 def test_manifest_conflict(spark):
     schema = spark.createDataFrame([], "k long").schema
     root = storage.new_path(spark, "store")
