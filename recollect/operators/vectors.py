@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import vector as V
+from recollect.operators.hnsw import Hnsw
 
 QUERY_BLOCK = 4096
+#: Vectors of one graph, and the part of the base from which a delta is merged into it.
+GRAPH, MERGE_AT = 4096, 0.1
 
 
 def search(rows: DataFrame, query, k: int, realm: str | None = None, allowed: DataFrame | None = None, min_similarity: float | None = None) -> DataFrame:
@@ -28,6 +31,46 @@ def search(rows: DataFrame, query, k: int, realm: str | None = None, allowed: Da
     return out.orderBy(F.col("similarity").desc(), "memory_id").limit(k)
 
 
+def graph_search(rows: DataFrame, query, k: int, ef: int = 64, shard: int = GRAPH) -> DataFrame:
+    """(memory_id, similarity) of the k nearest by a small-world graph per shard, the shards' results merged.
+
+    Vectors go to shards by id hash, so every shard is searched; approximate. Rows
+    without a usable vector are left out; ties go to the smaller id.
+    """
+    shards = max(1, -(-rows.count() // shard))
+    q = np.asarray(query, dtype=np.float32)
+    q = (q / np.linalg.norm(q))[None]
+
+    def one(table: pa.Table) -> pa.Table:
+        lists = table.column("embedding").combine_chunks()
+        ids, x = table.column("memory_id").to_numpy(), lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).astype(np.float32)
+        length = np.linalg.norm(x, axis=1)
+        ok = np.isfinite(length) & (length > 0)
+        order = np.argsort(ids[ok], kind="stable")
+        ids, x = ids[ok][order], (x[ok] / length[ok][:, None])[order]
+        found, sim = Hnsw(x).search(q, k, ef)
+        hit = found[0] >= 0
+        return pa.table({"memory_id": ids[found[0][hit]], "similarity": sim[0][hit].astype(np.float64)})
+
+    usable = rows.where(F.size("embedding") == q.shape[1]).select("memory_id", F.col("embedding").cast("array<float>").alias("embedding"), F.pmod(F.xxhash64("memory_id"), F.lit(shards)).alias("shard"))
+    found = usable.groupBy("shard").applyInArrow(one, "memory_id long, similarity double")
+    return found.orderBy(F.col("similarity").desc(), "memory_id").limit(k)
+
+
+def two_tier_search(base: DataFrame, delta: DataFrame, deleted: DataFrame, query, k: int, ef: int = 64, shard: int = GRAPH) -> DataFrame:
+    """Search over a base and what was added since; a delta of a tenth of the base or more is merged into it first.
+
+    Deleted memories are in neither tier; of a memory in both the delta counts.
+    """
+    gone = deleted.select("memory_id").distinct()
+    fresh = delta.join(gone, "memory_id", "left_anti").select("memory_id", "embedding")
+    old = base.join(gone, "memory_id", "left_anti").join(delta.select("memory_id"), "memory_id", "left_anti").select("memory_id", "embedding")
+    if fresh.count() >= MERGE_AT * old.count():
+        return graph_search(old.unionByName(fresh), query, k, ef, shard)
+    both = graph_search(old, query, k, ef, shard).unionByName(graph_search(fresh, query, k, ef, shard))
+    return both.orderBy(F.col("similarity").desc(), "memory_id").limit(k)
+
+
 def boosted(rows: DataFrame, query, context, k: int, beta: float) -> DataFrame:
     """D3: cosine plus ``beta`` times the positive part of the product of context and signature."""
     extra = F.greatest(F.coalesce(V.dot(F.col("signature"), V.literal(context)), F.lit(0.0)), F.lit(0.0))

@@ -47,6 +47,16 @@ def d_candidates(s, d):
     return V.search(_vec(s, d), _query(s, d), 10, allowed=_mem(s, d).where("kind = 'wisdom'")).select("memory_id", R6("similarity"))
 
 
+def d_graph_search(s, d):
+    return V.graph_search(_vec(s, d), _query(s, d), 10, ef=512).select("memory_id", F.round("similarity", 4).alias("similarity"))
+
+
+def d_two_tier(s, d):
+    """A base, a delta of a twentieth, and deleted memories in both."""
+    v = _vec(s, d)
+    return V.two_tier_search(v.where("memory_id % 20 <> 3"), v.where("memory_id % 20 = 3"), v.where("memory_id % 7 = 1"), _query(s, d), 10, ef=512).select("memory_id", F.round("similarity", 4).alias("similarity"))
+
+
 def d_boosted(s, d):
     rows = _vec(s, d).withColumn("signature", F.slice("embedding", 1, 32))
     return V.boosted(rows, _query(s, d), _query(s, d)[32:], 20, 0.2).select("memory_id", R6("similarity"))
@@ -384,6 +394,8 @@ SQL = {
     "d_search": _V + _SIM + _TOP.format(t="sim", k=20),
     "d_search_realm": _V + _SIM + ", x AS (SELECT * FROM sim WHERE realm = 'r3') " + _TOP.format(t="x", k=20),
     "d_candidates": duck("vectors", "memory") + _SIM + ", x AS (SELECT * FROM sim WHERE memory_id IN (SELECT memory_id FROM memory WHERE kind = 'wisdom')) " + _TOP.format(t="x", k=10),
+    "d_graph_search": _V + _SIM + "SELECT memory_id, round(similarity, 4) AS similarity FROM sim ORDER BY sim.similarity DESC, memory_id LIMIT 10",
+    "d_two_tier": _V + _SIM + "SELECT memory_id, round(similarity, 4) AS similarity FROM sim WHERE memory_id % 7 <> 1 ORDER BY sim.similarity DESC, memory_id LIMIT 10",
     "d_boosted": _V + _SIM + ", x AS (SELECT sim.memory_id, similarity + 0.2 * greatest(list_dot_product(list_slice(embedding::DOUBLE[], 1, 32), list_slice(q.e, 33, 64)), 0e0) AS similarity FROM sim, q) " + _TOP.format(t="x", k=20),
     "d_centroid": _V + _UNIT + "SELECT realm, pos, round(avg(x), 6) AS x FROM flat GROUP BY 1, 2",
     "d_centred": _V

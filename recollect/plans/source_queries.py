@@ -62,6 +62,22 @@ def a_snapshot(s, d):
     return log.load_snapshot(s, root)["state"].select("memory_id", F.round("strength", 6).alias("strength"))
 
 
+def a_torn_tail(s, d):
+    """Operations as lines; the last write of the file was cut short."""
+    path = storage.new_path(s, "lines")
+    line = F.to_json(F.struct("instance_id", "seqno", "op_type"))
+    last = _ops(s, d).agg(F.max(F.struct("instance_id", "seqno")).alias("m")).select("m.*")
+    torn = last.withColumn("value", F.lit('{"instance_id": 99, "seq')).select(F.lit(1).alias("o"), "value")
+    _ops(s, d).select(F.lit(0).alias("o"), line.alias("value")).unionByName(torn).coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
+    return log.complete_lines(s, path, "instance_id long, seqno long, op_type string")
+
+
+def a_vector_sidecar(s, d):
+    path = storage.new_path(s, "sidecar")
+    log.save_vectors(view(s, d, "vectors"), path)
+    return log.load_vectors(s, path, 64).select("memory_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+
+
 def a_import_jsonl(s, d):
     path = storage.new_path(s, "jsonl")
     view(s, d, "memory").select(F.col("memory_id").alias("id"), "kind", "confidence", "decay_rate", "realm", "pinned").write.json(path)
@@ -150,6 +166,8 @@ SQL = {
     "a_chain_intact": _O + ", n AS (SELECT instance_id, seqno, lag(seqno) OVER (PARTITION BY instance_id ORDER BY seqno) AS p FROM o) SELECT instance_id, seqno FROM n WHERE seqno = 77 OR p = 77",
     "a_from_seqno": _O + "SELECT instance_id, seqno, op_type FROM o WHERE seqno >= 300",
     "a_snapshot": duck("memory") + "SELECT memory_id, round(strength / 2, 6) AS strength FROM memory",
+    "a_torn_tail": _O + "SELECT instance_id, seqno, op_type FROM o",
+    "a_vector_sidecar": duck("vectors") + "SELECT memory_id, round(list_sum(list_transform(embedding, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE))), 4) AS total FROM vectors WHERE len(embedding) = 64",
     "a_import_jsonl": duck("memory") + "SELECT memory_id AS id, kind, pinned, CASE WHEN pinned THEN 0e0 ELSE round(decay_rate, 6) END AS decay_rate, true AS embed_pending, CAST(8 AS BIGINT) AS dim FROM memory",
     "a_graph_dump": duck("memory", "triplet") + "SELECT count(*) AS n, 'nodes' AS what FROM memory WHERE length(trim(content)) > 0 UNION ALL SELECT count(*), 'edges' FROM triplet WHERE valid_to_ms = 0",
     "a_transcripts": duck("note") + "SELECT count(*) AS n, CAST(sum(length(replace(content, chr(10), ' '))) AS BIGINT) AS chars FROM note WHERE content <> ''",

@@ -58,9 +58,25 @@ def broken(stored: DataFrame) -> DataFrame:
     return stored.join(again, ["instance_id", "seqno"]).where(~F.col("chain").eqNullSafe(F.col("_c"))).select("instance_id", "seqno")
 
 
+class DamagedLog(ValueError):
+    """A log file holds a bad record that others follow."""
+
+
 def complete_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of a JSON-lines log; a torn last line is skipped, as are other bad ones."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """Records of a JSON-lines log; a bad last line of a file is a torn write and skipped.
+
+    A bad line that others follow is damage, and raises :class:`DamagedLog`. Lines
+    are told apart by file, block and place in the block; only one row per file
+    that has a bad line reaches the driver's check.
+    """
+    rows = spark.read.schema(schema + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    placed = storage.materialize(rows.select("*", F.col("_metadata.file_path").alias("_file"), place.alias("_at")), "log-lines")
+    ends = placed.groupBy("_file").agg(F.max("_at").alias("end"), F.min(F.when(F.col("_bad").isNotNull(), F.col("_at"))).alias("bad"))
+    damaged = ends.where(F.col("bad") < F.col("end")).select("_file").first()
+    if damaged:
+        raise DamagedLog(f"{damaged[0]} is damaged before its end")
+    return placed.where(F.col("_bad").isNull()).drop("_bad", "_file", "_at")
 
 
 def prune(ops: DataFrame, covered: DataFrame) -> DataFrame:
@@ -108,10 +124,28 @@ def import_jsonl(spark: SparkSession, path: str, dim: int) -> DataFrame:
     return rows.withColumns({"embedding": F.coalesce("embedding", zero), "embed_pending": F.col("embedding").isNull(), "pinned": pinned, "decay_rate": F.when(pinned, 0.0).otherwise(F.col("decay_rate"))})
 
 
+#: Columns of an old relational store, in the names of the JSON lines.
+RELATIONAL = {"id": "id", "type": "kind", "kind": "kind", "content": "content", "confidence": "confidence", "decay_rate": "decay_rate", "created_at": "created_at_ms", "accessed_at": "accessed_at_ms", "realm": "realm", "pinned": "pinned"}
+
+
 def import_jdbc(spark: SparkSession, url: str, table: str, kinds: list[str] | None = None, **options: str) -> DataFrame:
-    """Memories of a relational store; the filter on kinds is pushed to it."""
+    """Memories of a relational store, whichever of the known columns it has; the filter on kinds is pushed to it.
+
+    Give ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions``
+    as options to read a large table in parallel.
+    """
     rows = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-    return rows if kinds is None else rows.where(F.col("kind").isin(kinds))
+    rows = rows.select(*[F.col(c).alias(c.lower()) for c in rows.columns])
+    known = {RELATIONAL[c]: c for c in rows.columns if c in RELATIONAL}
+    if "id" not in known or "content" not in known:
+        raise ValueError(f"{table} has no id or no content")
+    out = rows.select(*[F.col(c).alias(name) for name, c in known.items()])
+    return out if kinds is None else out.where(F.col("kind").isin(kinds))
+
+
+def export_relational(spark: SparkSession, url: str, table: str, path: str, kinds: list[str] | None = None, **options: str) -> None:
+    """Memories of a relational store as JSON lines that :func:`import_jsonl` reads."""
+    import_jdbc(spark, url, table, kinds, **options).write.json(path)
 
 
 def dump_graph(memory: DataFrame, triplets: DataFrame, root: str) -> None:
@@ -122,7 +156,12 @@ def dump_graph(memory: DataFrame, triplets: DataFrame, root: str) -> None:
 
 def save_vectors(vectors: DataFrame, path: str) -> None:
     """Vectors as a Parquet column of their own, so that scans of state never read them."""
-    vectors.select("memory_id", "embedding").write.parquet(path)
+    vectors.select("memory_id", F.col("embedding").cast("array<float>").alias("embedding")).write.parquet(path)
+
+
+def load_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
+    """The vectors of :func:`save_vectors` that have the given width; others are left out as damaged."""
+    return spark.read.schema("memory_id long, embedding array<float>").parquet(path).where(F.size("embedding") == dim)
 
 
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
