@@ -122,21 +122,36 @@ def episode(tool: str, entity: str, outcome: int) -> bytes:
     return bind(out, bind(word("ROLE:OUTCOME"), word(OUTCOME.get(outcome, "partial"))))
 
 
-def unbind(tape: DataFrame, tool: str, query_role: str, k: int) -> list[tuple[str, float]]:
-    """Given a tool, the likeliest values of another role: bundle, unbind, clean up by codebook.
+def unbind(tape: DataFrame, tool: str, query_role: str, k: int) -> DataFrame:
+    """(value, similarity): given a tool, the likeliest values of another role: bundle, unbind, clean up by codebook.
 
     Equal episodes are counted first, so the bundle is a weighted sum over the
-    distinct (entity, outcome) pairs of the tool, whatever the length of the tape.
+    distinct (entity, outcome) pairs of the tool, added up in the map tasks; only
+    one number per bit reaches the driver. The codebook is compared in the map.
     """
-    seen = tape.where(F.col("tool") == tool).groupBy("entity", "outcome").agg(F.count(F.lit(1)).alias("n")).collect()
-    names = [r[0] for r in tape.select(query_role).distinct().collect()]
-    n = sum(r["n"] for r in seen)
-    counts = np.zeros(BITS, dtype=np.int64)
-    for r in seen:
-        counts += r["n"] * bits(episode(tool, r["entity"], r["outcome"]))
+    seen = tape.where(F.col("tool") == tool).groupBy("entity", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+    def add(batches):
+        for batch in batches:
+            total, n = np.zeros(BITS, dtype=np.int64), 0
+            for entity, outcome, times in zip(*(batch.column(c).to_pylist() for c in ("entity", "outcome", "n")), strict=True):
+                total += times * bits(episode(tool, entity, outcome))
+                n += times
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()], type=pa.list_(pa.int64()))], names=["n", "counts"])
+
+    parts = seen.mapInArrow(add, "n long, counts array<long>")
+    flat = parts.select("n", F.posexplode("counts").alias("at", "c")).groupBy("at").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).collect()  # one row a bit
+    counts, n = np.zeros(BITS, dtype=np.int64), 0
+    for r in flat:
+        counts[r["at"]], n = r["c"], r["n"]
     probe = bind(majority(counts, n), bind(word("ROLE:TOOL"), word(tool)))
-    role = {"entity": "ROLE:ENTITY", "outcome": "ROLE:OUTCOME"}[query_role]
-    probe = bind(probe, word(role))
+    probe = bind(probe, word({"entity": "ROLE:ENTITY", "outcome": "ROLE:OUTCOME"}[query_role]))
     code = (lambda v: encode(v)) if query_role == "entity" else (lambda v: word(OUTCOME.get(v, "partial")))
-    scored = [(str(v), 1.0 - int(bits(bind(probe, code(v))).sum()) / BITS) for v in names]
-    return sorted(scored, key=lambda x: (-x[1], x[0]))[:k]
+
+    def rate(batches):
+        for batch in batches:
+            names = batch.column("value").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([str(v) for v in names], type=pa.string()), pa.array([1.0 - int(bits(bind(probe, code(v))).sum()) / BITS for v in names], type=pa.float64())], names=["value", "similarity"])
+
+    values = tape.select(F.col(query_role).alias("value")).where(F.col("value").isNotNull()).distinct()
+    return values.mapInArrow(rate, "value string, similarity double").orderBy(F.col("similarity").desc(), "value").limit(k)

@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 from recollect.functions.scoring import Context, decompose, effective_strength
 from recollect.functions.vector import cosine, literal
+from recollect.operators.graph import ppr_lane
 from recollect.operators.lexical import bm25
 from recollect.operators.memory import in_range, live
+from recollect.operators.sparse_codes import posting_search
 from recollect.operators.vectors import block_search, search
+from recollect.storage import materialize
 
 RRF_K = 60.0
 FETCH = 4
 LURE_RISK, LURE_MOST = 0.7, 2
+#: Hits that seed the graph lane, and how many it gives.
+PPR_SEEDS, PPR_GIVES = 5, 15
 #: Vectors of one side of a product of the duplicate band.
 BAND_BLOCK = 2048
 
@@ -84,8 +89,11 @@ def stratify(hits: DataFrame, k: int, reliability: DataFrame | None = None) -> D
     return hits.withColumn("_place", place).where(F.col("_place") <= cap).drop("_place", "_rel").orderBy(F.col("score").desc(), "memory_id").limit(k)
 
 
-def hybrid(vectors: DataFrame, memory: DataFrame, query, text: str, k: int, ctx: Context, realm: str | None = None, window: tuple[int, int] | None = None, reliability: DataFrame | None = None) -> DataFrame:
-    """Both lanes fused, capped per realm when unscoped, gated by a time window and backfilled from it."""
+def hybrid(vectors: DataFrame, memory: DataFrame, query, text: str, k: int, ctx: Context, realm: str | None = None, window: tuple[int, int] | None = None, reliability: DataFrame | None = None, edges: DataFrame | None = None, sparse: tuple[DataFrame, list[tuple[int, float]]] | None = None) -> DataFrame:
+    """Both lanes fused, capped per realm when unscoped, gated by a time window and backfilled from it.
+
+    ``edges`` fuses in the graph lane (E15); ``sparse``, codes and the query's code, re-ranks the fused list.
+    """
     fetch = k * FETCH * (2 if window else 1)
     lanes = [semantic(vectors, memory, query, fetch, ctx), keyword(memory, text, fetch, ctx, realm)]
     info = memory.select("memory_id", "realm", "created_ms")
@@ -94,13 +102,33 @@ def hybrid(vectors: DataFrame, memory: DataFrame, query, text: str, k: int, ctx:
     if window is not None:
         allowed = info.where(F.col("created_ms").between(*window)).select("memory_id")
         lanes = [lane.join(allowed, "memory_id", "left_semi") for lane in lanes]
-    merged = rrf(lanes, fetch).join(info, "memory_id")
+    merged = rrf(lanes, fetch)
+    if edges is not None:
+        merged = with_graph_lane(merged, edges, visible(memory, realm), fetch)
+    if sparse is not None:
+        again = posting_search(sparse[0].join(F.broadcast(merged.select("memory_id")), "memory_id", "left_semi"), sparse[1], fetch, memory)  # merged: fetch rows
+        merged = rrf([merged, again.select("memory_id", "score")], fetch)
+    merged = merged.join(info, "memory_id")
     out = stratify(merged, k, reliability) if realm is None else merged.orderBy(F.col("score").desc(), "memory_id").limit(k)
     if window is None:
         return out.select("memory_id", "realm", "score")
     return backfill(out.select("memory_id", "realm", "score"), vectors, visible(memory, realm), query, k, window)
 
 
+def with_graph_lane(merged: DataFrame, edges: DataFrame, allowed: DataFrame, k: int) -> DataFrame:
+    """The graph's ranking from the first hits as seeds, fused with the hits; it may bring in memories no lane found.
+
+    ``merged`` is a bounded list; fewer than two hits, or a lane of none, leave it as it is.
+    """
+    merged = materialize(merged, "fused")
+    seeds = merged.orderBy(F.col("score").desc(), "memory_id").limit(PPR_SEEDS).collect()
+    if len(seeds) < 2:
+        return merged
+    lane = ppr_lane(edges, [r["memory_id"] for r in seeds], [max(r["score"], 1e-6) for r in seeds])
+    lane = lane.join(allowed.select("memory_id"), "memory_id", "left_semi").orderBy(F.col("score").desc(), "memory_id").limit(PPR_GIVES)
+    return rrf([merged, lane], k + PPR_GIVES)
+
+
 def backfill(hits: DataFrame, vectors: DataFrame, memory: DataFrame, query, k: int, window: tuple[int, int]) -> DataFrame:
     """E5: fill up to k with window members by cosine, after the hits there are."""
     pool = in_range(memory, *window, limit=max(4 * k, 64)).join(hits.select("memory_id"), "memory_id", "left_anti")

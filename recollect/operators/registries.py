@@ -78,7 +78,7 @@ def split_large(vectors: DataFrame, theme: str, most: int, rounds: int = 5, samp
     parts = []
     for name in big:
         rows = vectors.where(F.col(theme) == name)
-        x = np.array([r["embedding"] for r in rows.orderBy("memory_id").limit(sample).collect()], dtype=np.float64)
+        x = np.array([r["embedding"] for r in rows.orderBy(F.xxhash64("memory_id"), "memory_id").limit(sample).collect()], dtype=np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         c = x[[0, int((x @ x[0]).argmin())]].copy()
         for _ in range(rounds):

@@ -124,7 +124,7 @@ def d_hv_realm_theme(s, d):
 
 
 def d_hv_unbind(s, d):
-    return s.createDataFrame(H.unbind(view(s, d, "tape"), "error", "entity", 5), "value string, similarity double")
+    return H.unbind(view(s, d, "tape"), "error", "entity", 5)
 
 
 def d_sparse_codes(s, d):
@@ -164,14 +164,14 @@ def d_prototype_transitions(s, d):
 
 
 def d_trained_dictionary(s, d):
-    x = np.array([r["embedding"] for r in _vec(s, d).orderBy("memory_id").limit(200).collect()], dtype=np.float64)
+    x = np.array([r["embedding"] for r in _vec(s, d).orderBy(F.xxhash64("memory_id"), "memory_id").limit(200).collect()], dtype=np.float64)
     left, right = P.dictionary(DIM)
     before = P.rebuilding_error(_vec(s, d), left, right).select(F.col("error").alias("before"))
     return before.crossJoin(P.rebuilding_error(_vec(s, d), *P.train(x, left, right)).select(F.col("error").alias("after")))  # one row each
 
 
 def d_quantised(s, d):
-    sample = np.array([r["embedding"] for r in _vec(s, d).orderBy("memory_id").limit(400).collect()], dtype=np.float64)
+    sample = np.array([r["embedding"] for r in _vec(s, d).orderBy(F.xxhash64("memory_id"), "memory_id").limit(400).collect()], dtype=np.float64)
     return V.pq_encode(_vec(s, d), V.pq_train(sample, 8, 16)).select("memory_id", F.array_join(F.transform("code", lambda c: c.cast("string")), ",").alias("code"), R6("error"))
 
 
@@ -252,6 +252,13 @@ def e_hybrid(s, d):
     return R.hybrid(_vec(s, d), _mem(s, d), _query(s, d), QUERY, 10, S.Context(NOW)).select("memory_id", "realm", F.round("score", 8).alias("score"))
 
 
+def e_hybrid_ppr(s, d):
+    """With the association graph's ranking fused in, and the candidates re-ranked by sparse codes."""
+    f, a = _sparse_query(s, d)
+    sparse = P.encoded(_vec(s, d), DIM), list(zip(f, a, strict=True))
+    return R.hybrid(_vec(s, d), _mem(s, d), _query(s, d), QUERY, 10, S.Context(NOW), edges=view(s, d, "edge"), sparse=sparse).select("memory_id", "realm", F.round("score", 8).alias("score"))
+
+
 def e_hybrid_window(s, d):
     return R.hybrid(_vec(s, d), _mem(s, d), _query(s, d), QUERY, 10, S.Context(NOW), window=(T0, T0 + 60 * DAY)).select("memory_id", "realm", F.round("score", 6).alias("score"))
 

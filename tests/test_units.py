@@ -130,7 +130,7 @@ def test_episode_algebra(spark):
     left = H.bind(H.bind(e, H.bind(H.word("ROLE:TOOL"), H.word("edit"))), H.bind(H.word("ROLE:OUTCOME"), H.word("success")))
     assert left == H.bind(H.word("ROLE:ENTITY"), H.encode("parser"))
     tape = spark.createDataFrame([(i, "edit", "parser", 0) for i in range(9)] + [(9, "read", "lexer", 0)], "turn long, tool string, entity string, outcome int")
-    assert {v for v, _ in H.unbind(tape, "edit", "entity", 5)} == {"parser", "lexer"}
+    assert {v for v, _ in H.unbind(tape, "edit", "entity", 5).collect()} == {"parser", "lexer"}
 
 
 @pytest.mark.parametrize(

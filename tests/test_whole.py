@@ -90,3 +90,13 @@ def test_seeds_are_of_the_whole_text(spark, monkeypatch):
     text = "plain words " * 30 + 'then @late and "a quotation" by Name'
     monkeypatch.setattr(memory_queries, "_note", lambda s, d: spark.createDataFrame([(1, text)], "memory_id long, content string"))
     assert {r["seed"] for r in memory_queries.c_seeds(spark, "").collect()} == {"late", "a quotation", "Name"}
+
+
+def test_graph_lane_brings_in_what_no_lane_found(spark):
+    hits = spark.createDataFrame([(1, 0.9), (2, 0.8), (3, 0.1)], "memory_id long, score double")
+    edges = spark.createDataFrame([(1, 50, "SameSession", 1.0), (2, 50, "SameSession", 1.0), (1, 60, "SameSession", 0.1), (1, 3, "SameSession", 0.5)], "src long, dst long, type string, weight double")
+    allowed = spark.createDataFrame([(1,), (2,), (3,), (50,)], "memory_id long")
+    got = {r["memory_id"]: r["score"] for r in R.with_graph_lane(hits, edges, allowed, 10).collect()}
+    assert got == {1: pytest.approx(1 / 61), 2: pytest.approx(1 / 62), 3: pytest.approx(1 / 63), 50: pytest.approx(1 / 61)}
+    one = hits.where("memory_id = 1")
+    assert [tuple(r) for r in R.with_graph_lane(one, edges, allowed, 10).collect()] == [(1, 0.9)]
