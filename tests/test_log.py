@@ -28,7 +28,7 @@ def test_interior_damage_fails(spark):
 def test_relational_export_and_import(spark):
     url = "jdbc:derby:memory:memories;create=true"
     options = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
-    rows = [(1, "wisdom", "first", 0.5, "r"), (2, "episode", "second", 0.25, None), (3, "wisdom", "third", 1.0, "s")]
+    rows = [(1, "wisdom", "first", 0.5, "r"), (2, "episode", "second", 0.25, "q"), (3, "wisdom", "third", 1.0, "s")]
     old = spark.createDataFrame(rows, "id long, type string, content string, confidence double, realm string")
     try:
         old.write.format("jdbc").options(url=url, dbtable="memory", createTableColumnTypes="type VARCHAR(20), content VARCHAR(200), realm VARCHAR(20)", **options).mode("overwrite").save()
