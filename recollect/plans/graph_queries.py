@@ -366,7 +366,7 @@ def _ppr(rounds: int) -> str:
     out = duck("edge") + ", fl AS (SELECT src, dst, max(weight) AS weight FROM edge GROUP BY 1, 2), cap AS (SELECT src, dst, weight FROM fl QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 64), m0 AS MATERIALIZED (SELECT unnest([1, 5, 30])::BIGINT AS src)"
     for i in range(4):
         out += f", m{i + 1} AS MATERIALIZED (SELECT src FROM m{i} UNION ALL (SELECT dst FROM cap WHERE src IN (SELECT src FROM m{i}) AND dst NOT IN (SELECT src FROM m{i}) GROUP BY 1 ORDER BY max(weight) DESC, dst LIMIT (SELECT 4000 - count(*) FROM m{i})))"
-    out += ", lo AS (SELECT * FROM cap WHERE src IN (SELECT src FROM m4) AND dst IN (SELECT src FROM m4)), sh AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS s FROM lo WHERE weight > 0), re AS (SELECT * FROM (VALUES (1, 0.5e0), (5, 0.3e0), (30, 0.2e0)) t(node, p)), s0 AS MATERIALIZED (SELECT node, p AS score FROM re)"
+    out += ", lo AS (SELECT * FROM cap WHERE src IN (SELECT src FROM m4) AND dst IN (SELECT src FROM m4)), sh AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS s FROM lo QUALIFY sum(weight) OVER (PARTITION BY src) > 0), re AS (SELECT * FROM (VALUES (1, 0.5e0), (5, 0.3e0), (30, 0.2e0)) t(node, p)), s0 AS MATERIALIZED (SELECT node, p AS score FROM re)"
     for i in range(rounds):
         out += f", s{i + 1} AS MATERIALIZED (SELECT node, sum(score) AS score FROM (SELECT dst AS node, 0.85e0 * score * s AS score FROM sh JOIN s{i} ON src = node UNION ALL SELECT node, 0.15e0 * p FROM re) GROUP BY 1)"
     moved = " UNION ALL ".join(f"SELECT {i + 1} AS i, sum(abs(coalesce(x.score, 0) - coalesce(y.score, 0))) AS moved FROM s{i} x FULL JOIN s{i + 1} y USING (node)" for i in range(rounds))

@@ -25,7 +25,7 @@ VIEWS: dict[str, str] = {
         ((doc_id * 17) % 101) / 100e0 AS surprise, ((doc_id * 19) % 101) / 100e0 AS arousal, ((doc_id * 23) % 101) / 100e0 AS competitive_weight,
         ((doc_id * 29) % 101) / 100e0 AS lure_risk, ((doc_id * 31) % 101) / 100e0 AS spacing_quality, ((doc_id * 41) % 201) / 100e0 - 1e0 AS valence, doc_id % 5 AS replication_count
         FROM {documents}""",
-    "claim": """SELECT doc_id AS memory_id, realm, source AS domain, CASE WHEN kind = 'correction' THEN 'CORRECTION' ELSE 'OPERATIONAL' END AS type, 'node-' || CAST(doc_id % 40 AS VARCHAR(9)) AS subject,
+    "claim": """SELECT doc_id AS memory_id, realm, source AS domain, CASE WHEN kind = 'correction' THEN 'CORRECTION' ELSE 'OPERATIONAL' END AS type, 'node-' || CAST(CAST(floor(doc_id / 8e0) AS BIGINT) % 3 AS VARCHAR(9)) AS subject,
         CASE doc_id % 8 WHEN 0 THEN 'use-ssh' WHEN 1 THEN 'use-ssh-not-slurm' WHEN 2 THEN 'must-use-slurm' WHEN 3 THEN 'cannot-use-slurm' WHEN 4 THEN 'enable-cache' WHEN 5 THEN 'disable-cache' WHEN 6 THEN 'keep-logs' ELSE 'keep-logs-only' END AS predicate,
         CASE doc_id % 3 WHEN 0 THEN 'local' WHEN 1 THEN 'remote' ELSE 'both' END AS object FROM {documents}""",
     "note": """SELECT memory_id, max(content) AS content, max(realm) AS realm, min(ts_ms) AS created_ms, max(kind) AS kind FROM {recall_hit} GROUP BY memory_id""",
