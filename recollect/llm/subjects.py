@@ -8,12 +8,18 @@ the area is among documents with these terms than among all documents of the
 language, by the lower Wilson bound of its confidence, so words every text of a
 language uses and chance meetings of rare words carry nothing.
 
-Rules hold two terms at most, so the growth stops there: it first counts single
-terms, then, for each frequent term an area attracts, the header table of its
-conditional database (which other such terms its transactions hold, per area).
-Every map task grows over its own transactions and passes on counts, which are
-summed by pattern; the work of a segment is bounded by its 64 words, whatever
-phrases the documents share.
+The growth is the parallel one: terms are counted in the map tasks; the frequent
+ones that an area attracts are listed by frequency and dealt into ``SHARDS``
+groups; every map task sends each group the part of its transactions up to the
+group's last term; each group is one frequent-pattern tree with a count per area
+in its nodes, and is grown by conditional trees, without a bound on the length.
+
+A pattern is a rule of an area if it is frequent there, ``LIFT`` times likelier
+than without its terms, and says ``RAISE`` times as much as any shorter rule
+within it; beyond two terms, all its parts must be rules of the area themselves.
+So the growth goes on only where a term adds something, and phrases that
+documents share in many variants don't multiply. A term that alone is so sure of
+its areas that no pattern with it could say more takes no part, which loses no rule.
 
 The evidence of a segment for an area is the sum over its matching rules. A
 calibration on labelled documents that took no part in the mining gives, for each
@@ -50,7 +56,10 @@ from recollect.storage import materialize
 
 MAX_LABELLED = 20_000
 LEAST_COUNT, SUPPORT = 3, 1 / 2000
-LIFT = 1.5
+#: How much likelier an area must be than among all documents, and than by any shorter rule.
+LIFT, RAISE = 1.5, 1.1
+#: Groups of the frequent list, each with a tree of its own.
+SHARDS = 1024
 #: A fifth, less the error of measuring a text by its words of three letters or more.
 SHARE = 0.19
 #: Share from which an area names a document for the second round.
@@ -89,10 +98,15 @@ def prepared(docs: DataFrame, labels: DataFrame | None = None, most: int = MAX_L
 
 
 class Rules:
-    """Single-term and two-term rules as arrays, ready for the scoring map."""
+    """Rules as arrays, ready for the scoring map.
 
-    def __init__(self, areas: list[str], terms: list[str], weights: np.ndarray, pairs: np.ndarray, pair_weights: np.ndarray):
-        self.areas, self.terms, self.weights, self.pairs, self.pair_weights = areas, terms, weights, pairs, pair_weights
+    ``longer`` has (keys, weights) for each length from two terms on. A key is the
+    place of the rule's beginning among the rules one shorter (for two terms, the
+    first term), times the number of terms, plus its last term; keys ascend.
+    """
+
+    def __init__(self, areas: list[str], terms: list[str], weights: np.ndarray, longer: list[tuple[np.ndarray, np.ndarray]]):
+        self.areas, self.terms, self.weights, self.longer = areas, terms, weights, longer
         self.chance = np.zeros(BINS)
 
     def evidence(self, term_lists: pa.ListArray) -> np.ndarray:
@@ -110,21 +124,31 @@ class Rules:
         segment, at = key // len(self.terms), key % len(self.terms)
         for a in range(len(self.areas)):
             out[:, a] = np.bincount(segment, self.weights[at, a], n)
-        d = 1
-        while len(self.pairs) and d < len(key):
-            same = np.nonzero(segment[d:] == segment[:-d])[0]
-            if not len(same):
+        last, rule = np.arange(len(key)), at
+        for keys, weights in self.longer:
+            lasts, rules = [], []
+            d = 1
+            while d < len(key):
+                ok = last + d < len(key)
+                ok[ok] = segment[last[ok] + d] == segment[last[ok]]
+                last, rule = last[ok], rule[ok]  # those with no term left in their segment have none at a greater distance
+                if not len(last):
+                    break
+                both = rule * len(self.terms) + at[last + d]
+                where = np.minimum(np.searchsorted(keys, both), len(keys) - 1)
+                hit = keys[where] == both
+                np.add.at(out, segment[last[hit]], weights[where[hit]])
+                lasts.append(last[hit] + d)
+                rules.append(where[hit])
+                d += 1
+            if not lasts:
                 break
-            both = at[same] * len(self.terms) + at[same + d]
-            where = np.minimum(np.searchsorted(self.pairs, both), len(self.pairs) - 1)
-            ok = self.pairs[where] == both
-            np.add.at(out, segment[same[ok]], self.pair_weights[where[ok]])
-            d += 1
+            last, rule = np.concatenate(lasts), np.concatenate(rules)
         return out
 
 
-def _least_confidence(k: float, n: float, z: float = 1.645) -> float:
-    """Lower Wilson bound of k of n: what a rule promises at the least."""
+def _least_confidence(k, n, z: float = 1.645):
+    """Lower Wilson bound of k of n, numbers or arrays: what a rule promises at the least."""
     p = k / n
     return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
@@ -165,9 +189,13 @@ def _count_terms(batches):
         yield pa.RecordBatch.from_arrays([names.take(pa.array(term)), lang.dictionary.take(pa.array(of // len(area.dictionary))), area.dictionary.take(pa.array(of % len(area.dictionary))), pa.array(n)], names=["term", "lang", "area", "n"])
 
 
-def _grow(terms: list[str], areas: list[str]):
-    """Documents with an area -> (t, u, area, n): counts of the header tables of the conditional databases, t < u."""
-    known, names = pa.array(terms), pa.array(areas)
+def _shards(listed: list[str], areas: list[str]):
+    """Documents with an area -> (shard, items, area, n): transactions up to the last term of each group, as places in the frequent list.
+
+    Items are big-endian, so that their bytes sort as the paths of a tree; equal
+    transactions of a batch are one row.
+    """
+    known, names = pa.array(listed), pa.array(areas)
 
     def run(batches):
         for batch in batches:
@@ -175,21 +203,144 @@ def _grow(terms: list[str], areas: list[str]):
             if not len(b.words):
                 continue
             codes = pc.fill_null(pc.index_in(b.words, value_set=known), -1).to_numpy().astype(np.int64)
-            seg, term = b.first(codes, len(terms))
-            order = np.lexsort((term, seg))
-            seg, term = seg[order], term[order]
-            area = pc.index_in(batch.column("area"), value_set=names).to_numpy().astype(np.int64)[b.doc[seg]] if len(seg) else seg
-            keys = []
-            for d in range(1, WIDTH):
-                same = np.nonzero(seg[d:] == seg[:-d])[0]
-                if not len(same):
-                    break
-                keys.append((area[same] * len(terms) + term[same]) * len(terms) + term[same + d])
-            if not keys:
+            seg, item = b.first(codes, len(listed))
+            order = np.lexsort((item, seg))
+            seg, item = seg[order], item[order]
+            at = np.arange(len(seg))
+            begin = np.searchsorted(seg, seg)
+            _, back = np.unique((seg * SHARDS + item % SHARDS)[::-1], return_index=True)
+            end = np.sort(len(seg) - 1 - back)
+            end = end[end > begin[end]]  # a term alone is counted already
+            if not len(end):
+                continue
+            size = at[end] - begin[end] + 1
+            offsets = np.concatenate([[0], np.cumsum(size)])
+            flat = item[np.repeat(begin[end] - offsets[:-1], size) + np.arange(offsets[-1])].astype(">i4")
+            paths = pc.dictionary_encode(pa.Array.from_buffers(pa.binary(), len(end), [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(flat)]))
+            area = pc.index_in(batch.column("area"), value_set=names).to_numpy().astype(np.int64)[b.doc[seg[end]]]
+            distinct = len(paths.dictionary)
+            key, n = np.unique((area * SHARDS + item[end] % SHARDS) * distinct + paths.indices.to_numpy(), return_counts=True)
+            path, of = paths.dictionary.take(pa.array(key % distinct)), key // distinct
+            yield pa.RecordBatch.from_arrays([pa.array((of % SHARDS).astype(np.int32)), path, pa.array((of // SHARDS).astype(np.int32)), pa.array(n)], names=["shard", "items", "area", "n"])
+
+    return run
+
+
+class _Tree:
+    """Frequent-pattern tree: for each node its item, its parent (-1 below the root) and its count in each area."""
+
+    def __init__(self, items: np.ndarray, offsets: np.ndarray, counts: np.ndarray):
+        """From transactions: ``items`` ascending within each, ``offsets`` of the transactions, ``counts`` (transactions, areas)."""
+        size, base = np.diff(offsets), int(items.max()) + 1
+        node, live, depth, n = np.full(len(size), -1), np.nonzero(size)[0], 0, 0
+        parents, found, sums = [], [], []
+        while len(live):
+            key, to = np.unique((node[live] + 1) * base + items[offsets[live] + depth], return_inverse=True)
+            parents.append(key // base - 1)
+            found.append(key % base)
+            sums.append(np.zeros((len(key), counts.shape[1]), dtype=np.int64))
+            np.add.at(sums[-1], to, counts[live])
+            node[live], n, depth = n + to, n + len(key), depth + 1
+            live = live[size[live] > depth]
+        self.parent, self.item, self.counts = np.concatenate(parents), np.concatenate(found), np.concatenate(sums)
+        self._order = np.argsort(self.item, kind="stable")
+        self.header, self._first = np.unique(self.item[self._order], return_index=True)
+
+    def nodes(self, h: int) -> np.ndarray:
+        """Nodes of the item at place ``h`` of the header table."""
+        return self._order[self._first[h] : self._first[h + 1] if h + 1 < len(self._first) else None]
+
+    def above(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Conditional pattern base of ``nodes``: (path, item) of all nodes above them, by path, items ascending."""
+        paths, items = [], []
+        path, at = np.arange(len(nodes)), self.parent[nodes]
+        while True:
+            path, at = path[at >= 0], at[at >= 0]
+            if not len(at):
+                break
+            paths.append(path)
+            items.append(self.item[at])
+            at = self.parent[at]
+        if not paths:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        path, item = np.concatenate(paths), np.concatenate(items)
+        order = np.lexsort((item, path))
+        return path[order], item[order]
+
+
+class _Growth:
+    """Rules of two terms and more from a tree. ``conf`` and ``prior`` are (listed terms, areas), ``number`` the terms' places by name."""
+
+    def __init__(self, conf: np.ndarray, prior: np.ndarray, number: np.ndarray, least: int):
+        self.conf, self.prior, self.number, self.least = conf, prior, number, least
+
+    def grow(self, tree: _Tree, listed: np.ndarray, conf: np.ndarray, suffix: tuple[int, ...] = (), only=None):
+        """(terms, areas, counts, totals) of each pattern that is a rule as far as the tree shows.
+
+        ``listed`` gives the place in the frequent list of each item, ``conf`` what
+        the suffix with each item promises, infinite where that is no rule.
+        """
+        for h, item in enumerate(tree.header):
+            if only is not None and not only(item):
                 continue
-            key, n = np.unique(np.concatenate(keys), return_counts=True)
-            t, u = key // len(terms), key % len(terms)
-            yield pa.RecordBatch.from_arrays([pa.array((t % len(terms)).astype(np.int32)), pa.array(u.astype(np.int32)), pa.array((t // len(terms)).astype(np.int32)), pa.array(n)], names=["t", "u", "area", "n"])
+            nodes = tree.nodes(h)
+            path, above = tree.above(nodes)
+            if not len(path):
+                continue
+            counts = tree.counts[nodes]
+            items, to = np.unique(above, return_inverse=True)
+            n = np.zeros((len(items), counts.shape[1]), dtype=np.int64)
+            np.add.at(n, to, counts[path])
+            total = n.sum(axis=1)
+            here = (*suffix, int(listed[item]))
+            named = min(here, key=lambda i: self.number[i])
+            p = self.prior[np.where(self.number[listed[items]] < self.number[named], listed[items], named)]
+            c = _least_confidence(n, total[:, None])
+            rule = (n >= self.least) & (c / p >= LIFT) & (c > RAISE * np.maximum(np.maximum(conf[items], conf[item]), p))
+            kept = np.nonzero(rule.any(axis=1))[0]
+            for r in kept:
+                a = np.nonzero(rule[r])[0]
+                yield sorted(int(self.number[i]) for i in (*here, listed[items[r]])), a, n[r, a], total[r]
+            if len(kept) > 1:
+                place = np.full(len(items), -1)
+                place[kept] = np.arange(len(kept))
+                stay = place[to] >= 0
+                path, local = path[stay], place[to[stay]]
+                _, begin = np.unique(path, return_index=True)
+                below = _Tree(local, np.append(begin, len(path)), counts[path[begin]])
+                yield from self.grow(below, listed[items[kept]], np.where(rule[kept], c[kept], np.inf), here)
+
+
+def _grow(growth: _Growth):
+    """Rows of :func:`_shards` sorted by (shard, items) -> (terms, area, n, total): a tree at a time, grown for the terms of its group."""
+    listed = np.arange(len(growth.number))
+
+    def grown(shard: int, held: list[tuple[pa.Array, np.ndarray]]):
+        paths = pa.concat_arrays([p for p, _ in held])
+        offsets = np.frombuffer(paths.buffers()[1], dtype=np.int32)[paths.offset : paths.offset + len(paths) + 1].astype(np.int64) // 4
+        items = np.frombuffer(paths.buffers()[2], dtype=">i4")[: offsets[-1]].astype(np.int64)
+        tree = _Tree(items, offsets, np.concatenate([c for _, c in held]))
+        rows = [(t, int(a), int(k), int(total)) for t, areas, n, total in growth.grow(tree, listed, growth.conf, only=lambda i: i % SHARDS == shard) for a, k in zip(areas, n, strict=True)]
+        types = (pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=["terms", "area", "n", "total"])
+
+    def run(batches):
+        shard, held = None, []
+        for batch in batches:
+            shards = batch.column("shard").to_numpy()
+            cut = np.concatenate([[0], np.nonzero(np.diff(shards))[0] + 1, [len(shards)]]) if len(shards) else [0]
+            for start, end in zip(cut[:-1], cut[1:], strict=True):
+                if shards[start] != shard:
+                    if held:
+                        yield grown(shard, held)
+                    shard, held = int(shards[start]), []
+                part = batch.slice(start, end - start)
+                paths = pc.dictionary_encode(part.column("items"))
+                counts = np.zeros((len(paths.dictionary), growth.conf.shape[1]), dtype=np.int64)
+                np.add.at(counts, (paths.indices.to_numpy(), part.column("area").to_numpy()), part.column("n").to_numpy())
+                held.append((paths.dictionary, counts))
+        if held:
+            yield grown(shard, held)
 
     return run
 
@@ -214,7 +365,7 @@ def mine(known: DataFrame) -> Rules | None:
 
     counted = known.mapInArrow(_count_terms, "term string, lang string, area string, n long").groupBy("term", "lang", "area").agg(F.sum("n").alias("n"))
     per = counted.groupBy("term").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "area", "n")).alias("c")).where(F.col("total") >= least)  # a term has languages x areas counts
-    weights, conf_of, tongue, freq = {}, {}, {}, {}
+    weights, conf_of, tongue, freq, grows = {}, {}, {}, {}, set()
     for r in per.collect():  # at most 1 / SUPPORT times the distinct terms of a mean document
         by_lang: dict[str, int] = {}
         by_area: dict[str, int] = {}
@@ -229,22 +380,47 @@ def mine(known: DataFrame) -> Rules | None:
                 if n >= least:
                     conf_of[r["term"], index[a]] = c
                     weights.setdefault(r["term"], np.zeros(len(areas)))[index[a]] = np.log(c / p)
+        # a pattern with the term has at most its n, and promises at most n of n
+        if r["term"] in tongue and any(n >= least and _least_confidence(n, n) > RAISE * conf_of.get((r["term"], index[a]), 0.0) for a, n in by_area.items()):
+            grows.add(r["term"])
     if not tongue:
         return None
     names = sorted(tongue)
-    pair_rows = known.mapInArrow(_grow(names, areas), "t int, u int, area int, n long").groupBy("t", "u").agg(F.sum("n").alias("n"), F.collect_list(F.struct("area", "n")).alias("c"))
-    by_area = F.expr("transform(array_distinct(transform(c, x -> x.area)), a -> struct(a AS area, aggregate(filter(c, x -> x.area = a), 0L, (s, x) -> s + x.n) AS n))")
-    pairs: dict[int, np.ndarray] = {}
-    for r in pair_rows.where(F.col("n") >= least).select("t", "u", "n", by_area.alias("c")).collect():  # bounded as the terms, by the mean document's pairs
-        for a, n in ((x["area"], x["n"]) for x in r["c"]):
-            t, u = names[r["t"]], names[r["u"]]
-            p, c = prior[tongue[t]][a], _least_confidence(n, r["n"])
-            shorter = max(conf_of.get((t, a), p), conf_of.get((u, a), p))
-            if n >= least and c / p >= LIFT and c > 1.1 * shorter:  # else a shorter rule says as much
-                pairs.setdefault(r["t"] * len(names) + r["u"], np.zeros(len(areas)))[a] += np.log(c / shorter)
-    keys = np.array(sorted(pairs), dtype=np.int64)
     none = np.zeros(len(areas))
-    return Rules(areas, names, np.array([weights.get(t, none) for t in names]), keys, np.array([pairs[k] for k in keys]).reshape(len(keys), len(areas)))
+    return Rules(areas, names, np.array([weights.get(t, none) for t in names]), _longer(known, names, sorted(grows, key=lambda t: (-freq[t], t)), areas, conf_of, prior, tongue, least))
+
+
+def _longer(known: DataFrame, names: list[str], listed: list[str], areas: list[str], conf_of: dict, prior: dict, tongue: dict, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rules of two terms and more, by length as :class:`Rules` keeps them. ``listed`` is the frequent list, most frequent first."""
+    if len(listed) < 2:
+        return []
+    number = {t: i for i, t in enumerate(names)}
+    conf = np.array([[conf_of.get((t, a), 0.0) for a in range(len(areas))] for t in listed])
+    growth = _Growth(conf, np.array([prior[tongue[t]] for t in listed]), np.array([number[t] for t in listed]), least)
+    sent = known.mapInArrow(_shards(listed, areas), "shard int, items binary, area int, n long")
+    rows = sent.repartition("shard").sortWithinPartitions("shard", "items").mapInArrow(_grow(growth), "terms array<int>, area int, n long, total long").collect()  # rules only
+
+    promised = {(number[t], a): c for (t, a), c in conf_of.items()}
+    found: dict[tuple[int, ...], np.ndarray] = {}
+    confs: dict[tuple[tuple[int, ...], int], float] = {}
+    for r in sorted(rows, key=lambda r: len(r["terms"])):  # the parts of a pattern come from several trees
+        terms, a, c = tuple(r["terms"]), r["area"], _least_confidence(r["n"], r["total"])
+        p = prior[tongue[names[terms[0]]]][a]
+        if len(terms) == 2:
+            parts = [promised.get((t, a), p) for t in terms]
+        else:
+            parts = [confs.get((terms[:i] + terms[i + 1 :], a), np.inf) for i in range(len(terms))]
+        shorter = max(p, *parts)
+        if c > RAISE * shorter:  # else a shorter rule says as much, or a part is no rule
+            confs[terms, a] = c
+            found.setdefault(terms, np.zeros(len(areas)))[a] = np.log(c / shorter)
+    levels, place = [], {(i,): i for i in range(len(names))}
+    while True:
+        own = sorted((place[t[:-1]] * len(names) + t[-1], t) for t in found if len(t) == len(levels) + 2)
+        if not own:
+            return levels
+        levels.append((np.array([k for k, _ in own], dtype=np.int64), np.array([found[t] for _, t in own])))
+        place = {t: i for i, (_, t) in enumerate(own)}
 
 
 def _strengths(rules: Rules):

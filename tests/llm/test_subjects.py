@@ -1,10 +1,12 @@
 import random
 import time
+from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from recollect.llm.subjects import classify, fit, pooled, prepared, segments
+from recollect.llm.subjects import LIFT, RAISE, _least_confidence, classify, fit, mine, pooled, prepared, segments
 
 AREAS = {
     "sea": ["harbour", "sailor", "anchor", "tide", "vessel", "mast"],
@@ -69,6 +71,68 @@ def test_shared_phrases_do_not_multiply(spark):
     assert time.monotonic() - begun < 30 and got == {i: a for i, a in enumerate(list(AREAS) * 5)}
 
 
+def longer_rules(rules):
+    """{(terms, area): weight} of the rules of two terms and more."""
+    out, names = {}, [(i,) for i in range(len(rules.terms))]
+    for keys, weights in rules.longer:
+        names = [(*names[k // len(rules.terms)], int(k % len(rules.terms))) for k in keys.tolist()]
+        out |= {(tuple(rules.terms[i] for i in t), rules.areas[a]): w[a] for t, w in zip(names, weights, strict=True) for a in np.nonzero(w)[0]}
+    return out
+
+
+def test_growth_gives_the_rules_of_every_length(spark):
+    """Against counting every set of terms: each term says little, and more of them say more."""
+    r, known = random.Random(4), []
+    terms = ["ash", "birch", "cedar", "elder", "fir", "gorse", "hazel", "ivy"]
+    likely = {"sea": 0.5, "hill": 0.3} | dict.fromkeys(["city", "moor", "lake", "farm", "mine", "wood"], 0.12)
+    for i in range(4000):
+        area = list(likely)[i % len(likely)]
+        some = [t for t in terms if r.random() < likely[area]]
+        known.append(("en", area, [r.sample(some, len(some)), ["plain", r.choice(terms)]]))
+    rules = mine(spark.createDataFrame(known, "lang string, area string, segments array<array<string>>").repartition(5))
+    counts: dict = {}
+    for _, area, parts in known:
+        seen = set()
+        for part in parts:
+            fresh = sorted(set(part) - seen)
+            seen |= set(part)
+            for size in range(1, len(fresh) + 1):
+                for t in combinations(fresh, size):
+                    counts.setdefault(t, {}).setdefault(area, 0)
+                    counts[t][area] += 1
+    n_of = {a: 1 + sum(k[1] == a for k in known) for a in rules.areas}
+    least, want, conf = max(3, int(len(known) / 2000)), {}, {}
+    drawn = {t for t, c in counts.items() if len(t) == 1 for a, n in c.items() if _least_confidence(n, sum(c.values())) / (n_of[a] / sum(n_of.values())) >= LIFT}
+    for t in sorted(counts, key=len):
+        if not all((x,) in drawn for x in t):
+            continue
+        for a, n in counts[t].items():
+            p, c = n_of[a] / sum(n_of.values()), _least_confidence(n, sum(counts[t].values()))
+            parts = [conf.get((x, a), p if len(t) == 2 else np.inf) for x in combinations(t, len(t) - 1) if x]
+            if n >= least and c / p >= LIFT and (len(t) == 1 or c > RAISE * max(p, *parts)):
+                conf[t, a] = c
+                if len(t) > 1:
+                    want[t, a] = np.log(c / max(p, *parts))
+    got = longer_rules(rules)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert {len(t) for t, _ in want} >= {2, 3, 4}
+    segment = sorted(max(want, key=lambda k: len(k[0]))[0])
+    e = rules.evidence(pa.array([[*segment, "plain"], ["plain"], segment[::-1]], type=pa.list_(pa.string())))
+    single = dict(zip(rules.terms, rules.weights, strict=True))
+    total = [sum(single[t][i] for t in segment) + sum(w for (t, x), w in want.items() if x == a and set(t) <= set(segment)) for i, a in enumerate(rules.areas)]
+    assert np.allclose(e, [total, [0] * len(likely), total])
+
+
+def test_phrases_in_many_variants_do_not_multiply(spark):
+    """Forty terms that documents of two areas share, each document without some of them."""
+    r = random.Random(5)
+    phrase = [f"term{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    known = [("en", a, [[t for t in phrase if r.random() < 0.9]] if a in ("sea", "hill") else [["other", "words"]]) for a in ["sea", "hill", "city", "moor", "lake", "farm", "mine", "wood"] * 250]
+    begun = time.monotonic()
+    rules = mine(spark.createDataFrame(known, "lang string, area string, segments array<array<string>>"))
+    assert time.monotonic() - begun < 60 and {"termaa", "termbn"} <= set(rules.terms)
+
+
 def test_segments(spark):
     text = "One two; three! Four\u3002Five six\nab cd. " + "word " * 150
     got = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(segments(F.col("t")).alias("s")).collect()
