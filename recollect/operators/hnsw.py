@@ -158,43 +158,53 @@ class Hnsw:
         done[:, :e] = ids[:, :e] < 0
         seen, mark = self._seen[:b], self._mark[:b]
         seen[:] = False
-        seen[:, n] = True  # row -1, no neighbour
+        seen[:, n] = True  # row -1, no neighbour: the place before a query's first
         seen[np.arange(b)[:, None], ids[:, :e]] = True
+        seen, mark, row = seen.reshape(-1), mark.reshape(-1), np.arange(b) * (n + 1)
         live = np.arange(b)
+        width = min(EXPAND, ef)
         while len(live):
-            s = np.where(done[live], -9.0, sim[live])
-            width = min(EXPAND, ef)
+            beam = sim[live]
+            s = np.where(done[live], -9.0, beam)
             best = np.argpartition(s, ef - width, axis=1)[:, ef - width :] if width < ef else np.broadcast_to(np.arange(ef), s.shape)
             score = np.take_along_axis(s, best, 1)
             go = (score > -9.0).any(axis=1)
             if not go.all():
-                live, best, score = live[go], best[go], score[go]
+                live, best, score, beam = live[go], best[go], score[go], beam[go]
                 if not len(live):
                     break
             done[live[:, None], best] = True
-            nb = links[np.where(score > -9.0, ids[live[:, None], best], -1)]
-            nb = np.where(score[:, :, None] > -9.0, nb, -1).reshape(len(live), -1)
-            r, c = np.nonzero(~seen[live[:, None], nb])
-            to = nb[r, c].astype(np.int64)
-            mark[live[r], to] = at = np.arange(len(r), dtype=np.int32)
-            once = mark[live[r], to] == at  # the same neighbour of two expanded nodes counts once
-            r, to = r[once], to[once]
-            seen[live[r], to] = True
-            value = np.einsum("nd,nd->n", x[to], q[live[r]])
-            better = value > sim[live[r]].min(axis=1)
+            nb = links[ids[live[:, None], best]]
+            nb[score <= -9.0] = -1
+            nb = nb.reshape(len(live), -1)
+            at = (row[live, None] + nb).reshape(-1)
+            new = np.nonzero(~seen.take(at))[0]
+            r, at = new // nb.shape[1], at[new]
+            mark[at] = turn = np.arange(len(r), dtype=np.int32)
+            once = mark.take(at) == turn  # the same neighbour of two expanded nodes counts once
+            r, at = r[once], at[once]
+            seen[at] = True
+            asking = live[r]
+            to = at - row[asking]
+            value = np.einsum("nd,nd->n", x.take(to, axis=0), q.take(asking, axis=0))
+            better = value > beam.min(axis=1)[r]
             r, to, value = r[better], to[better], value[better]
             if not len(r):
                 continue
-            slot = np.arange(len(r)) - np.searchsorted(r, np.arange(len(live)))[r]
-            room = int(slot.max()) + 1
-            more_s = np.full((len(live), room), -3.0, dtype=np.float32)
-            more_i = np.full((len(live), room), -1, dtype=np.int64)
-            more_s[r, slot], more_i[r, slot] = value, to
-            all_s = np.concatenate([sim[live], more_s], axis=1)
-            pick = np.argpartition(all_s, room, axis=1)[:, room:]
-            sim[live] = np.take_along_axis(all_s, pick, 1)
-            ids[live] = np.take_along_axis(np.concatenate([ids[live], more_i], axis=1), pick, 1)
-            done[live] = np.take_along_axis(np.concatenate([done[live], more_i < 0], axis=1), pick, 1)
+            count = np.bincount(r, minlength=len(live))
+            moved = np.nonzero(count)[0]  # the beams of the others stay
+            beam, moved, count = beam[moved], live[moved], count[moved]
+            place = np.repeat(np.arange(len(moved)), count)
+            slot = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+            room = int(count.max())
+            more_s = np.full((len(moved), room), -3.0, dtype=np.float32)
+            more_i = np.full((len(moved), room), -1, dtype=np.int64)
+            more_s[place, slot], more_i[place, slot] = value, to
+            all_s = np.concatenate([beam, more_s], axis=1)
+            pick = np.argpartition(all_s, room, axis=1)[:, room:] + np.arange(len(moved))[:, None] * (ef + room)
+            sim[moved] = all_s.take(pick)
+            ids[moved] = np.concatenate([ids[moved], more_i], axis=1).take(pick)
+            done[moved] = np.concatenate([done[moved], more_i < 0], axis=1).take(pick)
         order = np.argsort(-sim, axis=1, kind="stable")
         sim = np.take_along_axis(sim, order, 1)
         return np.where(sim > -3.0, np.take_along_axis(ids, order, 1), -1), sim

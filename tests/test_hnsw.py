@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -51,3 +53,31 @@ def test_nothing_is_compared_with_all(monkeypatch):
     n = 8000
     Hnsw(data(n).astype(np.float32))
     assert sum(seen) + n * hnsw.BATCH < n * n / 3
+
+
+def plain_walk(g, q, entry, ef):
+    """The walk of one query on the lowest layer, step by step: similarities of its beam, best first."""
+    sim = {int(i): float(np.einsum("d,d->", g.x[i], q)) for i in entry}
+    beam, seen, done = sorted(sim, key=lambda i: -sim[i])[:ef], set(sim), set()
+    while step := [i for i in beam if i not in done][: hnsw.EXPAND]:
+        done |= set(step)
+        fresh = {int(j) for i in step for j in g.layers[0].ids[i] if j >= 0} - seen
+        seen |= fresh
+        sim |= {j: float(np.einsum("d,d->", g.x[j], q)) for j in fresh}
+        beam = sorted(beam + list(fresh), key=lambda i: -sim[i])[:ef]
+    return [sim[i] for i in beam]
+
+
+def test_walk_step_by_step_and_its_work():
+    """The same as a plain walk, and the beam of a query is read once a step, not once for every candidate."""
+    x = data(3000).astype(np.float32)
+    g = Hnsw(x)
+    found, sim = g.search(x, 20, 24, np.arange(3000))
+    for i in range(0, 3000, 100):
+        assert np.allclose(sim[i], plain_walk(g, x[i], [i], 24)[:20], atol=1e-6)
+    queries = data(1024, seed=1).astype(np.float32)
+    tracemalloc.start()
+    g.search(queries, 5, 512)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6  # a beam read for every candidate takes about 160 MB here
