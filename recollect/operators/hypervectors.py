@@ -135,7 +135,7 @@ def unbind(tape: DataFrame, tool: str, query_role: str, k: int) -> DataFrame:
         for batch in batches:
             total, n = np.zeros(BITS, dtype=np.int64), 0
             for entity, outcome, times in zip(*(batch.column(c).to_pylist() for c in ("entity", "outcome", "n")), strict=True):
-                total += times * bits(episode(tool, entity, outcome))
+                total += np.int64(times) * bits(episode(tool, entity, outcome))  # the bits are bytes: a plain int above 255 doesn't fit
                 n += times
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()], type=pa.list_(pa.int64()))], names=["n", "counts"])
 

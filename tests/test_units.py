@@ -133,6 +133,16 @@ def test_episode_algebra(spark):
     assert {v for v, _ in H.unbind(tape, "edit", "entity", 5).collect()} == {"parser", "lexer"}
 
 
+def test_unbind_of_episodes_seen_more_than_255_times(spark):
+    """Beside the bundle of all episodes, taken one by one."""
+    seen = [("edit", "parser", 0)] * 601 + [("edit", "lexer", 1)] * 256 + [("edit", "reader", 0)] * 255 + [("edit", "writer", 2)] + [("read", "lexer", 0)] * 300
+    tape = spark.createDataFrame([(i, *e) for i, e in enumerate(seen)], "turn long, tool string, entity string, outcome int")
+    probe = H.bind(H.bundle([H.episode(*e) for e in seen if e[0] == "edit"]), H.bind(H.bind(H.word("ROLE:TOOL"), H.word("edit")), H.word("ROLE:ENTITY")))
+    want = {v: 1.0 - int(H.bits(H.bind(probe, H.encode(v))).sum()) / H.BITS for v in ("parser", "lexer", "reader", "writer")}
+    got = H.unbind(tape, "edit", "entity", 5).collect()
+    assert [tuple(r) for r in got] == sorted(want.items(), key=lambda r: (-r[1], r[0]))
+
+
 @pytest.mark.parametrize(
     "request_,want",
     [
